@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from . import near_dedup
+from . import decontaminate, fingerprints, language_id, main_text, near_dedup, pii, piece_encoding, token_files, url_filter
 
 QUERIES = {
+    "op1_language_id": language_id.op1,
+    "op3_token_files": token_files.op3,
+    "op4_url_filter": url_filter.op4,
+    "op5_fingerprints": fingerprints.op5,
+    "op6_pii": pii.op6,
+    "op7_main_text": main_text.op7,
+    "op8_piece_encoding": piece_encoding.op8,
+    "op9_decontamination": decontaminate.op9,
     "op10_near_dedup": near_dedup.op10,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_decontamination": decontaminate.SQL,
+}
