@@ -6,7 +6,7 @@ agrees with the probability of their Jaccard similarity, with concentration as f
 
 Exact copies of a shingle set are collapsed before anything else, so a hot group of copies costs one aggregation. Buckets
 are never expanded into all pairs: each member is first compared with its bucket's least member in every band, the links
-found are joined to components, and only members of one bucket that are still in different components are compared further.
+found are joined to components, and what shared buckets connect but links don't is compared in blocks, exactly.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from . import common as C
 from .components import components
 
-BANDS, ROWS = 32, 5
+BANDS, ROWS = 52, 7
+BLOCK_ITEMS = 300_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -127,20 +128,73 @@ def _sets(width: int):
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets overlap enough. Each document's set is sent once to each of its pairs."""
-    spark = docs.sparkSession
-    need = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(need, "doc_id", "left_semi")
-    sets = C.staged(texts.mapInArrow(_sets(width), "node long, items array<long>"), "sets")
+def node_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, items) of the given nodes: their full shingle sets, from the whole texts."""
+    texts = docs.select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    return C.staged(texts.mapInArrow(_sets(width), "node long, items array<long>"), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets overlap enough."""
     left, right = (sets.select(F.col("node").alias(k), F.col("items").alias(f"items_{k}")) for k in "ab")
     both = pairs.hint("merge").join(right.hint("merge"), "b").join(left.hint("merge"), "a")
     same = F.size(F.array_intersect("items_a", "items_b"))
     found = both.select("a", "b", same.alias("i"), (F.size("items_a") + F.size("items_b")).alias("n")).filter(100 * F.col("i") >= percent * (F.col("n") - F.col("i")))
-    out = C.staged(found.select("a", "b"), "links")
-    C.drop_staged(sets)
-    del spark
-    return out
+    return C.staged(found.select("a", "b"), "links")
+
+
+def _block(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        out: dict[str, list[int]] = {"a": [], "b": []}
+        table = table.combine_chunks()
+        asks = np.array(table["asks"].to_pylist(), bool)
+        if asks.any() and not asks.all():
+            items = table["items"].combine_chunks()
+            off, values = items.offsets.to_numpy(), items.values.to_numpy()
+            _, ids = np.unique(values[off[0] : off[-1]], return_inverse=True)
+            off = off - off[0]
+            node, comp, size = table["node"].to_numpy(), table["component"].to_numpy(), np.diff(off)
+            mark = np.zeros(ids.max() + 1, np.int32)
+            data = np.flatnonzero(~asks)
+            flat = np.concatenate([ids[off[i] : off[i + 1]] for i in data])
+            at = np.zeros(len(data), np.int64)
+            np.cumsum(size[data][:-1], out=at[1:])
+            for q in np.flatnonzero(asks):
+                own = ids[off[q] : off[q + 1]]
+                mark[own] = 1
+                same = np.add.reduceat(mark[flat], at)
+                mark[own] = 0
+                hit = data[(comp[data] != comp[q]) & (100 * same >= percent * (size[q] + size[data] - same))]
+                _, one = np.unique(comp[hit], return_index=True)
+                for i in hit[one]:
+                    out["a"].append(int(node[q]))
+                    out["b"].append(int(node[i]))
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
+
+    return run
+
+
+def missed(cluster: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the components of a cluster, which is what shared buckets connect.
+
+    A link that the first comparisons missed has an end outside its cluster's largest component. These documents are the queries:
+    each is compared exactly with every member of the cluster, in blocks of bounded size, and one link is returned for each
+    component that it meets; no pair is emitted otherwise.
+    """
+    member = cluster.withColumnRenamed("component", "cluster").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    member = C.staged(member.join(sets, "node").select("cluster", "component", "node", "items", F.size("items").cast("long").alias("n")), "members")
+    parts = member.groupBy("cluster", "component").agg(F.sum("n").alias("n"))
+    whole = parts.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("parts"))
+    blocks = lambda c: F.ceil(c / BLOCK_ITEMS).cast("int")
+    whole = whole.filter("parts > 1").select("cluster", "main", blocks(F.col("all")).alias("nd"), F.greatest(F.lit(1), blocks(F.col("all") - F.col("most"))).alias("nq"))
+    member = member.join(whole, "cluster")
+    pick = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keep = ["cluster", "component", "node", "items"]
+    data = member.select(*keep, F.lit(False).alias("asks"), pick("nd").alias("db"), every("nq").alias("qb"))
+    asks = member.filter("component <> main").select(*keep, F.lit(True).alias("asks"), pick("nq").alias("qb"), every("nd").alias("db"))
+    met = data.unionByName(asks).groupBy("cluster", "db", "qb").applyInArrow(_block(percent), "a long, b long")
+    return C.staged(met, "links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -149,7 +203,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: i
     Takes ``doc_id`` (integer) and ``text``; other columns are ignored. Returns doc_id, n_shingles, component_id, kept for
     every input row. Null or blank texts have no shingles and are linked with nothing; rows that repeat a doc_id share its
     component; a row whose doc_id is null is kept with a null component. Empty input gives no rows. A pair of similarity 0.8
-    misses all bands with a probability of 3e-6 (``bands`` 32, ``rows`` 5), a more similar one with less.
+    misses all bands with a probability of 5e-6 (``bands`` 52, ``rows`` 7), a more similar one with less.
     """
     spark = docs.sparkSession
     C.small_batches(spark)
@@ -163,17 +217,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: i
     shared = C.staged(keyed.join(heads, "key").select("key", "node", "a"), "buckets")
     C.drop_staged(keyed)
     stars = C.staged(shared.filter("node > a").select("a", F.col("node").alias("b")).distinct(), "pairs")
-    links = verified(docs, stars, percent, width)
-    comp = components(links)
-    # Members of one bucket that the links so far leave apart: compare them all, but for the pairs already compared.
-    member = shared.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi and n > 2")
-    apart = member.join(mixed.select("key"), "key", "left_semi")
-    x, y = apart.select("key", F.col("node").alias("a"), F.col("component").alias("ca")), apart.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-    rest = x.join(y, "key").filter("a < b and ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    rest = C.staged(rest, "pairs")
-    more = verified(docs, rest, percent, width)
     C.drop_staged(shared)
+    cluster = components(stars)
+    sets = node_sets(docs, cluster, width)
+    links = verified(stars, sets, percent)
+    more = missed(cluster, components(links), sets, percent)
+    C.drop_staged(sets)
     comp = components(links.unionByName(more))
     of = nodes.join(comp, "node", "left").select("digest", F.coalesce("component", "node").alias("of_set"))
     least = usable.join(of, "digest").groupBy("doc_id").agg(F.min("of_set").alias("component_id"))
