@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, language_id, main_text, near_dedup, pii, piece_encoding, token_files, url_filter
+from . import decontaminate, fingerprints, language_id, main_text, near_dedup, pii, piece_encoding, suffix_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1,
+    "op2_suffix_dedup": suffix_dedup.op2,
     "op3_token_files": token_files.op3,
     "op4_url_filter": url_filter.op4,
     "op5_fingerprints": fingerprints.op5,
