@@ -9,7 +9,8 @@ So the collection is first dealt into blocks that share no string of ``length``
 least hash among its ``gram``-byte parts, and neighbouring windows with the same least hash form one string. What has a hash of
 its own is not repeated. Strings that are equal as a whole are settled by counting; of the others each distinct one goes, with
 all strings of the same hash, through the construction in blocks of bounded size (through sequential files where a block is
-large). A hash with more strings than a block may hold is settled by counting its windows. No group meets in one task.
+large). A hash with more strings than a
+block may hold, or with a very long one (text that repeats itself), is settled by counting its windows. No group meets in one task.
 
 Two windows count as equal if 64-bit hashes of whole strings are, or the construction compares their bytes.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 LENGTH, GRAM, SYMBOL = 400, 200, 8
-BLOCK_BYTES, HOT_BYTES, IN_MEMORY = 150_000, 3_000_000, 1 << 22
+BLOCK_BYTES, HOT_BYTES, LONG_BYTES, IN_MEMORY = 150_000, 3_000_000, 4096, 1 << 22
 _HALF = np.int64((1 << 32) - 1)
 
 
@@ -184,9 +185,9 @@ def _sliding_min(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def strings_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Per string: text number, start in it, number of windows, least hash, hash of the whole string."""
+    """Per string: text number, start in it, number of windows, least hash, hash of the whole string, may it repeat itself."""
     raw, off = C.joined(texts)
-    none = tuple(np.zeros(0, np.int64) for _ in range(5))
+    none = tuple(np.zeros(0, np.int64) for _ in range(6))
     if len(raw) < length:
         return none
     p, inv = C.powers(len(raw) + 1)
@@ -194,7 +195,12 @@ def strings_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tu
     np.cumsum(C.BYTE[raw] * p[: len(raw)], out=sums[1:])
     grams = C.mix((sums[gram:] - sums[: len(raw) - gram + 1]) * inv[: len(raw) - gram + 1])
     least = _sliding_min(grams, length - gram + 1)  # for each start in 0..len(raw)-length
-    del grams
+    # A string repeats a window only if its least hash stands at two places: the first and the last one differ.
+    low = np.uint64((1 << int(len(grams)).bit_length()) - 1)
+    place = np.arange(len(grams), dtype=np.uint64)
+    first = _sliding_min((grams & ~low) | place, length - gram + 1) & low
+    last = low - (_sliding_min((grams & ~low) | (low - place), length - gram + 1) & low)
+    del grams, place
     row = np.repeat(np.arange(len(texts)), np.diff(off))[: len(least)]
     valid = np.arange(len(least)) + length <= off[row + 1]
     new = np.ones(len(least), bool)
@@ -206,17 +212,17 @@ def strings_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tu
     end = np.append(edge, len(least))[np.searchsorted(edge, start, side="right")]
     stop = end + length - 1
     whole = C.mix((sums[stop] - sums[start]) * inv[start] + (stop - start).astype(np.uint64))
-    return row[start], start - off[row[start]], end - start, least[start].view(np.int64), whole.view(np.int64)
+    return row[start], start - off[row[start]], end - start, least[start].view(np.int64), whole.view(np.int64), first[start] != last[end - 1]
 
 
 def _scan(batches):
     for batch in batches:
         texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
         for a, b in C.slices(texts):
-            row, start, n, least, whole = strings_of(texts[a:b])
+            row, start, n, least, whole, inner = strings_of(texts[a:b])
             off = np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(off, pa.array(x.astype(k))) for x, k in ((start, np.int32), (n, np.int32), (least, np.int64), (whole, np.int64))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *lists], ["doc_id", "h", "start", "n", "least", "whole"])
+            lists = [pa.ListArray.from_arrays(off, pa.array(x.astype(k))) for x, k in ((start, np.int32), (n, np.int32), (least, np.int64), (whole, np.int64), (inner, bool))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *lists], ["doc_id", "h", "start", "n", "least", "whole", "inner"])
 
 
 def _take(batches):
@@ -332,10 +338,11 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     C.small_batches(spark, 500)
     docs = _keyed(docs)
-    lists = C.staged(docs.mapInArrow(_scan, "doc_id long, h long, start array<int>, n array<int>, least array<long>, whole array<long>").filter("size(n) > 0"), "strings")
-    each = lists.select("doc_id", "h", F.explode(F.arrays_zip("start", "n", "least", "whole")).alias("x")).select("doc_id", "h", "x.*")
-    shared = each.groupBy("least").agg(F.count("*").alias("c"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).filter("c > 1").select("least", (F.col("lo") < F.col("hi")).alias("mixed"))
-    met = C.staged(each.join(shared, "least"), "shared")
+    lists = C.staged(docs.mapInArrow(_scan, "doc_id long, h long, start array<int>, n array<int>, least array<long>, whole array<long>, inner array<boolean>").filter("size(n) > 0"), "strings")
+    each = lists.select("doc_id", "h", F.explode(F.arrays_zip("start", "n", "least", "whole", "inner")).alias("x")).select("doc_id", "h", "x.*")
+    shared = each.groupBy("least").agg(F.count("*").alias("c"), F.min("whole").alias("lo"), F.max("whole").alias("hi"), F.bool_or("inner").alias("inner"))
+    shared = shared.filter("c > 1 or inner").select("least", ((F.col("c") == 1) | (F.col("lo") < F.col("hi"))).alias("mixed"))
+    met = C.staged(each.drop("inner").join(shared, "least"), "shared")
     C.drop_staged(lists)
     equal = met.filter("not mixed").select("doc_id", "h", F.col("start").alias("a"), (F.col("start") + F.col("n") + LENGTH - 1).alias("b"))
     mixed = met.filter("mixed")
@@ -346,10 +353,10 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     d, w = docs.alias("d"), wanted.alias("w")
     taken = d.join(w, (F.col("d.h") == F.col("w.h")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("d.doc_id", "d.h", "d.text", "w.w")
     strings = C.staged(taken.mapInArrow(_taken, "doc_id long, h long, start int, least long, more boolean, s binary").dropDuplicates(["doc_id", "h", "start", "least"]), "strings")
-    weight = strings.groupBy("least").agg(F.sum(F.length("s")).alias("bytes"), F.count("*").alias("k")).filter("k > 1")
+    weight = strings.groupBy("least").agg(F.sum(F.length("s")).alias("bytes"), (F.max(F.length("s")) > LONG_BYTES).alias("long"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cool = strings.join(weight.filter(F.col("bytes") <= HOT_BYTES).select("least"), "least", "left_semi")
-    hot = strings.join(weight.filter(F.col("bytes") > HOT_BYTES).select("least"), "least", "left_semi")
+    cool = strings.join(weight.filter((F.col("bytes") <= HOT_BYTES) & ~F.col("long")).select("least"), "least", "left_semi")
+    hot = strings.join(weight.filter((F.col("bytes") > HOT_BYTES) | F.col("long")).select("least"), "least", "left_semi")
     columns = ["doc_id", "h", "start", "least", "more", "s"]
     built = cool.select(*columns).repartition(parts, "least").sortWithinPartitions("least").mapInArrow(_constructed, "doc_id long, h long, a int, b int")
     windows = hot.select(*columns).mapInArrow(_windows, "doc_id long, h long, least long, more boolean, a int, w long")
