@@ -1,4 +1,8 @@
 """All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from . import graph_queries, search_queries
+
+QUERIES: dict = {**search_queries.QUERIES, **graph_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**search_queries.ORACLE_SQL, **graph_queries.ORACLE_SQL}
