@@ -106,8 +106,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 SQL = rf"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_ABC}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS ws FROM documents),
-b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_ABC}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS ws FROM benchmark),
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_ABC}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_ABC}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark),
 bw AS (SELECT DISTINCT item_id, least(len(ws), 8) AS l, array_to_string(ws[i : i + least(len(ws), 8) - 1], ' ') AS w
        FROM (SELECT item_id, ws, unnest(range(1, len(ws) - least(len(ws), 8) + 2)) AS i FROM b WHERE len(ws) > 0)),
 ls AS (SELECT DISTINCT l FROM bw),
