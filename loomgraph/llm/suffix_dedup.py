@@ -2,7 +2,8 @@
 
 Column-wise construction of the Burrows-Wheeler order and common prefixes of a collection: in each round one symbol of every
 document, from its end, is put before the suffix inserted last; the place follows from the order of the suffixes with that
-symbol, the common prefix from a range minimum. A symbol is a group of eight bytes, so a document enters in eight phases.
+symbol, the common prefix from a range minimum. A symbol is a group of forty bytes, which divides ``length``, so a string enters in forty phases and the
+rounds are as many as its forties.
 
 One construction over the whole collection would need as many rounds as the longest document has symbols, each over all data.
 So the collection is first dealt into blocks that share no string of ``length`` bytes: each window of that length belongs to the
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-LENGTH, GRAM, SYMBOL = 400, 200, 8
+LENGTH, GRAM, SYMBOL = 400, 200, 40
 BLOCK_BYTES, HOT_BYTES, LONG_BYTES, IN_MEMORY = 150_000, 3_000_000, 4096, 1 << 22
 _HALF = np.int64((1 << 32) - 1)
 
@@ -141,14 +142,17 @@ def ordered(symbols: np.ndarray, off: np.ndarray, in_memory: int = IN_MEMORY) ->
 
 
 def repeated(strings: list[bytes], length: int = LENGTH, symbol: int = SYMBOL) -> list[np.ndarray]:
-    """For each string and each place in it: does a string of ``length`` bytes start there that starts elsewhere too?"""
+    """For each string and each place in it: does a string of ``length`` bytes start there that starts elsewhere too?
+
+    ``symbol`` divides ``length``. Symbols are ranked by their bytes.
+    """
     cut, at, flat = [], [], []
     for i, s in enumerate(strings):
         for p in range(min(symbol, len(s) - length + 1)):
             n = (len(s) - p) // symbol
             cut.append(n)
             at.append((i, p))
-            flat.append(np.frombuffer(s, f">u{symbol}", n, p))
+            flat.append(np.frombuffer(s, f"S{symbol}", n, p))
     found = [np.zeros(max(0, len(s) - length + 1), bool) for s in strings]
     if not cut:
         return found
