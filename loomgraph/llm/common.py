@@ -63,16 +63,21 @@ def ascii_lower(col):
 # --- texts as one byte array -------------------------------------------------------------------
 
 
-def slices(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``most`` bytes; one longer text is a range of its own."""
+def ranges(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Row ranges whose sizes sum to about ``most``; one larger row is a range of its own."""
     at = size = 0
-    for i, t in enumerate(texts):
-        if i > at and size + len(t) > most:
+    for i, n in enumerate(sizes):
+        if i > at and size + n > most:
             yield at, i
             at, size = i, 0
-        size += len(t)
-    if at < len(texts):
-        yield at, len(texts)
+        size += n
+    if at < len(sizes):
+        yield at, len(sizes)
+
+
+def slices(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``most`` bytes; one longer text is a range of its own."""
+    return ranges([len(t) for t in texts], most)
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -5,17 +5,20 @@ run-length encoding for ids, a row index and a Bloom filter on doc_id in every s
 search for document ids skips files, stripes and row groups by their statistics and filters. ``start`` (ids before a document)
 comes from the files: sums by file, then by row inside each file.
 
-Encoding keeps the ids of words in a bounded table: the byte-level vocabulary cuts words before each single space, so a text
-without double spaces is the concatenation of its parts' ids; other texts go through the tokenizer whole.
+Encoding keeps the ids of words in a bounded table. A byte-level vocabulary cuts texts before each single space and no token of
+it reaches across, so a text is the concatenation of its parts' ids; texts with double or no-break spaces or with what could be a
+special token go through the tokenizer whole. New words are encoded many at a time and told apart by their leading space.
 """
 
 from __future__ import annotations
 
+import itertools
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,7 +27,8 @@ from . import common as C
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
 STRIPE_BYTES, INDEX_STRIDE = 16 << 20, 1000
-_CACHE = 600_000
+_CACHE = 1_000_000
+_SPACE = "Ġ"  # how a byte-level vocabulary writes a space
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -34,35 +38,87 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers, equal to the tokenizer's own."""
+    """Ids of texts, equal to the tokenizer's own."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts: list[list[str] | None] = []
-        for t in texts:
-            if "  " in t or "<|" in t:
-                parts.append(None)
-            else:
-                first, *rest = t.split(" ")
-                parts.append([first, *[" " + x for x in rest]])
-        new = sorted({x for p in parts if p for x in p}.difference(self.known))
-        if len(self.known) + len(new) > _CACHE:
-            self.known.clear()
-            new = sorted({x for p in parts if p for x in p})
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            self.known.update(zip(some, self._encode(some), strict=True))
+        n = self.tokenizer.get_vocab_size()
+        self.leads = np.array([(self.tokenizer.id_to_token(i) or "").startswith(_SPACE) for i in range(n)])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.at, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32), 0
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each text has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(found), np.int32), np.array([len(x) for x in found], np.int64)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that each begin with their only space: joined, then cut before each token that begins with a space."""
+        ids, sizes = self._whole(["".join(words[i : i + 400]) for i in range(0, len(words), 400)])
+        lead = self.leads[ids]
+        by_group = np.add.reduceat(lead, np.cumsum(sizes) - sizes) if len(sizes) else sizes
+        if not lead[np.cumsum(sizes) - sizes].all() or (by_group[:-1] != 400).any() or by_group.sum() != len(words):
+            return self._whole(words)
+        return ids, np.diff(np.flatnonzero(np.append(lead, True)))
+
+    def _numbers(self, words: list[str], encode) -> np.ndarray:
+        """The numbers of distinct words in the table; what is new goes in, encoded."""
         known = self.known
-        whole = iter(self._encode([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        return [b"".join([known[x] for x in p]) if p is not None else next(whole) for p in parts]
+        get = known.get
+        out = np.array([get(w, -1) for w in words], np.int64)
+        missing = np.flatnonzero(out < 0)
+        if not len(missing):
+            return out
+        new = [words[i] for i in missing.tolist()]
+        ids, sizes = encode(new)
+        k, end = len(known), self.used + len(ids)
+        if k + len(new) >= len(self.at):
+            self.at = np.concatenate([self.at, np.zeros(k + len(new), np.int64)])
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(end, np.int32)])
+        self.ids[self.used : end] = ids
+        np.cumsum(sizes, out=self.at[k + 1 : k + len(new) + 1])
+        self.at[k + 1 : k + len(new) + 1] += self.used
+        self.used = end
+        known.update(zip(new, range(k, k + len(new)), strict=True))
+        out[missing] = np.arange(k, k + len(new))
+        return out
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each text's ids begin (one more entry than texts), and all ids. There are no nulls."""
+        odd = pc.match_substring_regex(texts, "  |\u00a0|<\\|").to_numpy(zero_copy_only=False)
+        some = texts.filter(pa.array(~odd)) if odd.any() else texts
+        parts = pc.split_pattern(some, " ")
+        off = parts.offsets.to_numpy().astype(np.int64)
+        flat = parts.values.slice(off[0], off[-1] - off[0])
+        off -= off[0]
+        coded = flat.dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        words = [" " + w for w in coded.dictionary.to_pylist()]
+        first = flat.take(pa.array(off[:-1])).to_pylist()  # these have no space before them
+        if len(self.known) + len(words) + len(first) > _CACHE:
+            self._forget()
+        number = self._numbers(words, self._words)[code]
+        self._numbers(sorted(set(first)), self._whole)
+        number[off[:-1]] = [self.known[w] for w in first]
+        begin, size = self.at[number], self.at[number + 1] - self.at[number]
+        total = np.zeros(len(size) + 1, np.int64)
+        np.cumsum(size, out=total[1:])
+        ids = self.ids[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
+        ends = total[off]
+        if not odd.any():
+            return ends, ids
+        more, sizes = self._whole(texts.filter(pa.array(odd)).to_pylist())
+        rest, plain = iter(np.split(more, np.cumsum(sizes)[:-1])), iter(zip(ends[:-1], ends[1:], strict=True))
+        each = [np.array(next(rest), np.int32) if o else ids[slice(*next(plain))] for o in odd]
+        out = np.zeros(len(each) + 1, np.int64)
+        np.cumsum([len(x) for x in each], out=out[1:])
+        return out, np.concatenate(each)
 
 
 _LOADED: dict[str, Encoder] = {}
@@ -84,24 +140,24 @@ def write_tokens(docs: DataFrame, out: str, vocabulary: str | None = None, end_i
     hash; null doc_ids come first. Empty input writes no rows.
     """
     spark = docs.sparkSession
-    C.small_batches(spark, 500)
+    C.small_batches(spark, 1000)
     vocabulary = vocabulary or vocabulary_path()
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches):
         e, seen = encoder(vocabulary), 0
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in C.slices(texts, 1 << 21):
-                ids = [x + end for x in e.encode(texts[a:b])]
-                off = np.zeros(b - a + 1, np.int32)
-                np.cumsum([len(x) // 4 for x in ids], out=off[1:])
+            texts = batch.column(1).fill_null("")
+            size = pc.binary_length(texts).to_pylist()
+            for a, b in C.ranges(size, 1 << 22):
+                off, ids = e.encode(texts.slice(a, b - a))
+                to = off + np.arange(b - a + 1)
+                with_end = np.full(to[-1], end_id, np.int32)
+                with_end[np.arange(len(ids)) + np.repeat(np.arange(b - a), np.diff(off))] = ids
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
                         pa.array(np.arange(seen, seen + b - a, dtype=np.int64)),
-                        pa.array(np.diff(off).astype(np.int64)),
-                        pa.ListArray.from_arrays(off, pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))),
+                        pa.array(np.diff(to).astype(np.int64)),
+                        pa.ListArray.from_arrays(to.astype(np.int32), pa.array(with_end)),
                     ],
                     ["doc_id", "ordinal", "n_tokens", "ids"],
                 )
@@ -112,7 +168,7 @@ def write_tokens(docs: DataFrame, out: str, vocabulary: str | None = None, end_i
     dealt = rows.repartitionByRange(parts, "doc_id").withColumn("h", F.xxhash64("text")).sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     done = dealt.mapInArrow(run, "doc_id long, ordinal long, n_tokens long, ids array<int>")
     options = {
-        "compression": "zlib",
+        "compression": "snappy",
         "orc.stripe.size": str(STRIPE_BYTES),
         "orc.create.index": "true",
         "orc.row.index.stride": str(INDEX_STRIDE),
