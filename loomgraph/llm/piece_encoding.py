@@ -25,7 +25,7 @@ from . import common as C
 
 MARK = "▁"
 VOCABULARY = "piece_bpe_32k.model"
-_CACHE, _PAIRS = 600_000, 400_000
+_CACHE, _PAIRS = 1_000_000, 400_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -47,11 +47,13 @@ class Codec:
             if i not in special and p and not (p.startswith("<") and p.endswith(">") and s == 0 and i < 3):
                 self.ids[p] = i
                 self.score[p] = s
-        self.longest = max(map(len, self.ids), default=1)
+        # All ends of pieces of more than one character: what is none of them can't be the end of a longer piece either.
+        self.tails = {p[i:] for p in self.ids for i in range(len(p) - 1)}
         # Characters that occur in a piece of more than one character; words are cut around all others.
         self.inner = {c for p in self.ids if len(p) > 1 for c in p}
         self.worst = min(self.score.values(), default=0.0) - 10.0
         self.pair: dict[tuple[str, str], bool] = {}
+        self.own: dict[str, bool] = {}
         self.words: dict[str, bytes] = {}
         self.value = {i: p.replace(MARK, " ").encode() for i, p in enumerate(pieces)}
         for b, i in enumerate(bytes_):
@@ -96,34 +98,36 @@ class Codec:
 
     def _states(self, word: str, last: list[str], best: list[float], shared: int) -> None:
         """Forward states of the prefixes of ``word`` that are longer than ``shared``."""
-        ids, score = self.ids, self.score
+        ids, score, tails, bpe = self.ids, self.score, self.tails, self.kind == "bpe"
         del last[shared + 1 :], best[shared + 1 :]
         for end in range(shared + 1, len(word) + 1):
-            if self.kind == "bpe":
-                found = word[end - 1]
-                for start in range(max(0, end - self.longest), end - 1):
+            starts, start = [], end - 2
+            while start >= 0 and (p := word[start:end]) in tails:
+                if p in ids:
+                    starts.append(start)
+                start -= 1
+            found = word[end - 1]
+            if bpe:
+                for start in reversed(starts):
                     p = word[start:end]
-                    if p in ids and self._merges(p) and (start == 0 or self.follows(last[start], p)):
+                    if self._merges(p) and (start == 0 or self.follows(last[start], p)):
                         found = p
                         break
-                last.append(found)
                 best.append(0.0)
             else:
-                top, found = best[end - 1] + self.score.get(word[end - 1], self.worst), word[end - 1]
-                for start in range(max(0, end - self.longest), end - 1):
+                top = best[end - 1] + self.score.get(found, self.worst)
+                for start in reversed(starts):
                     p = word[start:end]
-                    if p in ids and best[start] + score[p] > top:
+                    if best[start] + score[p] > top:
                         top, found = best[start] + score[p], p
-                last.append(found)
                 best.append(top)
+            last.append(found)
 
     def _merges(self, p: str) -> bool:
-        key = ("", p)
-        ok = self.pair.get(key)
+        """Does the piece result from its own characters?"""
+        ok = self.own.get(p)
         if ok is None:
-            if len(self.pair) >= _PAIRS:
-                self.pair.clear()
-            ok = self.pair[key] = self.merged(p) == [p]
+            ok = self.own[p] = self.merged(p) == [p]
         return ok
 
     def _ids(self, pieces: list[str]) -> bytes:
