@@ -183,7 +183,13 @@ def sample(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """(text, lang) of at most ``per_lang`` labelled documents of each language, those with the least hash of doc_id."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     h = F.xxhash64(F.col("doc_id").cast("string"))
-    cut = known.select("lang", h.alias("h")).withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= per_lang)
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a number for each language
+    # So many hashes of each language as surely hold the least ones are ranked, not all of its documents.
+    near = F.lit(False)
+    for lang, n in sizes.items():
+        share = min(1.0, (2 * per_lang + 100) / n)
+        near = near | ((F.col("lang") == lang) & (h <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))))
+    cut = known.filter(near).select("lang", h.alias("h")).withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= per_lang)
     most = {r["lang"]: r["h"] for r in cut.groupBy("lang").agg(F.max("h").alias("h")).collect()}  # a number for each language
     pick = F.lit(False)
     for lang, top in most.items():

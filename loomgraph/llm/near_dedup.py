@@ -232,10 +232,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: i
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays (five-word shingles, similarity 0.8); columns as they came."""
+    """Pipeline stage: one document of each group stays (five-word shingles, similarity 0.8); columns as they came.
+
+    Of rows that repeat a doc_id one stays. Rows without doc_id or words all stay.
+    """
     found = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.lit(True).alias("_kept"))
     kept = found.filter("_kept_id is not null").distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi")
+    named = docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
