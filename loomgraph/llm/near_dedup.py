@@ -193,7 +193,8 @@ def missed(cluster: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -
     keep = ["cluster", "component", "node", "items"]
     data = member.select(*keep, F.lit(False).alias("asks"), pick("nd").alias("db"), every("nq").alias("qb"))
     asks = member.filter("component <> main").select(*keep, F.lit(True).alias("asks"), pick("nq").alias("qb"), every("nd").alias("db"))
-    met = data.unionByName(asks).groupBy("cluster", "db", "qb").applyInArrow(_block(percent), "a long, b long")
+    # Dealt by block: else a join before this may leave all blocks of a cluster in one task.
+    met = data.unionByName(asks).repartition("cluster", "db", "qb").groupBy("cluster", "db", "qb").applyInArrow(_block(percent), "a long, b long")
     return C.staged(met, "links")
 
 
