@@ -37,6 +37,14 @@ def resolved(nodes: DataFrame, name: str) -> str | None:
     return hit[0]["node"] if hit else None
 
 
+#: The place of a node in the order of visits: (-degree, name) of each node on the way to it, compared from the first on.
+_PLACE = "pos array<struct<d:bigint,n:string>>"
+
+
+def _place() -> Column:
+    return F.concat("pos", F.array(F.struct((-F.col("degree")).cast("long").alias("d"), F.col("dst").alias("n")))).alias("pos")
+
+
 def find_path(edges: DataFrame, start: str, end: str, max_depth: int = 8) -> list[str]:
     """A shortest path of at most ``max_depth`` edges; neighbours are visited by descending degree, then name."""
     edges = staged(edges.join(degrees(edges).withColumnRenamed("node", "dst"), "dst").select("src", "dst", "degree"), "edges")
@@ -47,20 +55,17 @@ def find_path(edges: DataFrame, start: str, end: str, max_depth: int = 8) -> lis
     if a == b:
         return [a]
     spark = edges.sparkSession
-    front = spark.createDataFrame([(a, 0, [a])], "node string, pos int, path array<string>")
+    front = spark.createDataFrame([(a, [], [a])], f"node string, {_PLACE}, path array<string>")
     seen = front.select("node")
-    order = lambda: F.struct("pos", -F.col("degree"), "dst")
     for _ in range(max_depth):
         step = front.join(edges, front["node"] == edges["src"]).select("pos", "path", "dst", "degree")
         step = step.join(seen, step["dst"] == seen["node"], "left_anti")
-        step = step.groupBy("dst").agg(F.min_by(F.struct("path", "pos", "degree"), order()).alias("x"))
-        level = staged(step.select("dst", "x.path", "x.pos", "x.degree"), "level")
+        step = step.select("dst", "path", _place())
+        level = staged(step.groupBy("dst").agg(F.min_by("path", "pos").alias("path"), F.min("pos").alias("pos")), "level")
         goal = level.filter(F.col("dst") == b).select("path").collect()
         if goal:
             return [*goal[0]["path"], b]
-        w = W.orderBy("pos", F.col("degree").desc(), "dst")
-        front = level.select(F.col("dst").alias("node"), (F.row_number().over(w) - 1).alias("pos"), F.concat("path", F.array("dst")).alias("path"))
-        front = staged(front, "front")
+        front = staged(level.select(F.col("dst").alias("node"), "pos", F.concat("path", F.array("dst")).alias("path")), "front")
         if front.isEmpty():
             return []
         seen = seen.union(front.select("node"))
@@ -78,7 +83,7 @@ def find_all_paths(edges: DataFrame, start: str, end: str, max_depth: int = 6, m
         return [[a]]
     edges = staged(edges.join(degrees(edges).withColumnRenamed("node", "dst"), "dst").select("src", "dst", "degree"), "edges")
     spark = edges.sparkSession
-    front = spark.createDataFrame([(a, 0, [a])], "node string, pos int, path array<string>")
+    front = spark.createDataFrame([(a, [], [a])], f"node string, {_PLACE}, path array<string>")
     seen = front.select("node")
     out: list[list[str]] = []
     for depth in range(1, max_depth + 1):
@@ -90,8 +95,7 @@ def find_all_paths(edges: DataFrame, start: str, end: str, max_depth: int = 6, m
         if len(out) >= max_paths:
             break
         step = step.filter(F.col("dst") != b).join(seen, step["dst"] == seen["node"], "left_anti")
-        w = W.orderBy("pos", F.col("degree").desc(), "dst")
-        front = staged(step.select(F.col("dst").alias("node"), (F.row_number().over(w) - 1).alias("pos"), F.concat("path", F.array("dst")).alias("path")), "front")
+        front = staged(step.select(F.col("dst").alias("node"), _place(), F.concat("path", F.array("dst")).alias("path")), "front")
         if front.isEmpty():
             break
         seen = seen.union(front.select("node").distinct())
@@ -156,18 +160,17 @@ def _chain(edges: DataFrame, a: str, b: str, max_depth: int, prefer: bool) -> li
     edges = edges.withColumn("late", F.when(causal, 0).otherwise(1) if prefer else F.lit(0))
     step_type = "array<struct<src:string,relation:string,dst:string,source:string>>"
     spark = edges.sparkSession
-    front = spark.createDataFrame([(a, 0, [])], f"node string, pos int, path {step_type}")
+    place = "array<struct<late:int,id:bigint>>"
+    front = spark.createDataFrame([(a, [], [])], f"node string, pos {place}, path {step_type}")
     seen = front.select("node")
-    order = F.struct("pos", "late", "id")
     for _ in range(max_depth):
-        step = front.join(edges, front["node"] == edges["src"]).select("pos", "late", "id", "dst", F.concat("path", F.array(F.struct("src", "relation", "dst", "source"))).alias("path"))
-        step = step.groupBy("dst").agg(F.min_by("path", order).alias("path"), F.min(order).alias("o"))
-        level = staged(step, "level")
+        at = F.concat("pos", F.array(F.struct("late", F.col("id").cast("long").alias("id")))).alias("pos")
+        step = front.join(edges, front["node"] == edges["src"]).select("dst", at, F.concat("path", F.array(F.struct("src", "relation", "dst", "source"))).alias("path"))
+        level = staged(step.groupBy("dst").agg(F.min_by("path", "pos").alias("path"), F.min("pos").alias("pos")), "level")
         goal = level.filter(F.col("dst") == b).select("path").collect()
         if goal:
             return [s.asDict() for s in goal[0]["path"]]
-        new = level.join(seen, level["dst"] == seen["node"], "left_anti")
-        front = staged(new.select(F.col("dst").alias("node"), (F.row_number().over(W.orderBy("o")) - 1).alias("pos"), "path"), "front")
+        front = staged(level.join(seen, level["dst"] == seen["node"], "left_anti").select(F.col("dst").alias("node"), "pos", "path"), "front")
         if front.isEmpty():
             return []
         seen = seen.union(front.select("node"))

@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from ..functions import vocab as V
 from ..session import ship
@@ -37,7 +38,7 @@ def hashed_embedder(dims: int = 64) -> Embedder:
 def embedded(rows: DataFrame, text: str, embedder: Embedder, batch: int = 20, most: int = 8000, retries: tuple[int, ...] = (4000, 2000, 1000)) -> DataFrame:
     """``embedding`` of each row's text, by batches, cut to ``most`` characters; a failed batch is tried row by row, ever shorter."""
     ship(rows.sparkSession)
-    schema = rows.schema.add("embedding", "array<float>")
+    schema = StructType([*rows.schema.fields, StructField("embedding", ArrayType(FloatType()))])
 
     def one(t: str) -> list[float] | None:
         for k in (most, *retries):

@@ -24,8 +24,15 @@ def visible(path: Column) -> Column:
     return ~F.exists(dirs, skipped_dir)
 
 
-def collect_files(spark: SparkSession, root: str, marker: str = ".vault-search-ignore", glob: str | None = None) -> DataFrame:
-    """(path, content) of the indexable text files under ``root``; a directory with the marker file is left out with all below.
+def _having(spark: SparkSession, root: str, dirs: list[str], name: str) -> list[str]:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [d for d in dirs if fs.exists(path(f"{root.rstrip('/')}/{d}{name}"))]
+
+
+def collect_files(spark: SparkSession, root: str, marker: str = ".index-ignore", glob: str | None = None) -> DataFrame:
+    """(path, content) of the indexable text files under ``root``; a directory with a file named ``marker`` is left out with all below.
 
     Invalid UTF-8 becomes replacement characters; blank files are left out. ``glob='*.md'`` is the scan of notes alone.
     """
@@ -34,12 +41,14 @@ def collect_files(spark: SparkSession, root: str, marker: str = ".vault-search-i
     rel = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^.*?" + root.rstrip("/").replace(".", r"\.") + "/", "")
     files = raw.select(rel.alias("path"), "content")
     if glob is None:
-        marked = files.filter(T.base_name(F.col("path")) == marker).select(F.regexp_replace("path", r"[^/]*$", "").alias("dir"))
         files = files.filter(visible(F.col("path")) & indexable(F.col("path")))
         ups = F.transform(F.sequence(F.lit(0), F.size(F.split("path", "/")) - 1), lambda k: F.concat(F.array_join(F.slice(F.split("path", "/"), F.lit(1), k), "/"), F.when(k > 0, F.lit("/")).otherwise(F.lit(""))))
+        # Spark's listing leaves out names with a leading dot, so the folders (not their files) are asked for the marker.
+        dirs = [r["dir"] for r in files.select(F.explode(ups).alias("dir")).distinct().collect()]
+        marked = spark.createDataFrame([(d,) for d in _having(spark, root, dirs, marker)], "dir string")
         hidden = files.select("path", F.explode(ups).alias("dir")).join(marked, "dir", "left_semi").select("path").distinct()
         files = files.join(hidden, "path", "left_anti")
-    text = F.decode(F.make_valid_utf8(F.col("content").cast("string")).cast("binary"), F.lit("UTF-8"))
+    text = F.make_valid_utf8(F.col("content").cast("string"))
     return files.select("path", text.alias("content")).filter(F.trim("content") != "")
 
 
