@@ -83,15 +83,19 @@ def keyword_score(query: str, path: Column) -> Column:
 def snippet(text: Column, summary: Column, words: list[str], width: int = 400, step: int = 100) -> Column:
     """The window with the most query words, the first of equally good ones; short texts are cut, no hit gives the summary."""
     body = F.regexp_replace(text, r"(?s)^---\n.*?\n---\n?", "")
-    low = F.lower(body)
+    # Pieces of ``step`` characters are cut once; a window is some pieces in a row. The one-element array binds them to a name.
+    pieces = F.regexp_extract_all(F.lower(body), F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
 
-    def hits(start):
-        piece = F.substring(low, (start + 1).cast("int"), F.lit(width))
-        n = sum((F.when(F.contains(piece, F.lit(w)), 1).otherwise(0) for w in words), F.lit(0))
-        return F.struct(n.alias("n"), (-start).alias("at"))
+    def best_of(cut):
+        def hits(i):
+            piece = F.array_join(F.slice(cut, i + 1, width // step), "")
+            n = sum((F.when(F.contains(piece, F.lit(w)), 1).otherwise(0) for w in words), F.lit(0))
+            return F.struct(n.alias("n"), (-step * i).alias("at"))
 
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(body) - width), F.lit(step))
-    best = F.array_max(F.transform(starts, hits))
+        last = F.floor(F.greatest(F.lit(0), F.length(body) - width) / step).cast("int")
+        return F.array_max(F.transform(F.sequence(F.lit(0), last), hits))
+
+    best = F.transform(F.array(pieces), best_of)[0]
     window = F.substring(body, (1 - best["at"]).cast("int"), F.lit(width))
     none = F.coalesce(F.when(F.length(summary) > 0, summary), F.left(body, F.lit(width)))
     return F.when(F.length(body) <= 500, F.left(body, F.lit(width))).when(best["n"] > 0, window).otherwise(none)
