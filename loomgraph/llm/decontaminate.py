@@ -95,8 +95,8 @@ def without_spans(text: Column, hits: Column) -> Column:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: contaminated documents go; the others stay as they came."""
-    found = contamination(docs, C.table(spark, sf_dir, "benchmark")).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    """Pipeline stage: documents with a window of any benchmark item go (op9's flag asks for two items); the others stay as they came."""
+    found = contamination(docs, C.table(spark, sf_dir, "benchmark"), least_items=1).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
     return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"].cast("string")) == found["_key"]), "left_anti")
 
 

@@ -159,6 +159,19 @@ def test_pipeline_equals_its_operators_one_after_another(spark, data):
     assert sum(masked[d] != left[d] for d in left) > 0
 
 
+def test_a_passage_of_one_benchmark_item_does_not_pass_the_pipeline(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    bench = spark.read.parquet(f"{data}/benchmark.parquet")
+    passage = max((r["text"] for r in bench.collect()), key=len)
+    planted = spark.createDataFrame([(900001, f"Before it stands this. {passage} And this comes after it."), (900002, "Nothing of a benchmark stands in this one.")], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").unionByName(planted)
+    hit = {r["doc_id"]: r["n_items"] for r in decontaminate.contamination(rows, bench).collect() if r["n_items"]}
+    assert hit[900001] == 1 and len(hit) > 1
+    left = {r["doc_id"] for r in decontaminate.stage(spark, rows, data).collect()}
+    assert left == {r["doc_id"] for r in rows.select("doc_id").collect()} - set(hit)
+    assert not set(hit) & {r["doc_id"] for r in corpus_pipeline.run(spark, data).collect()}
+
+
 def test_unknown_scripts_are_rejected(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
     more = spark.createDataFrame([(100001, "これは日本語の文章です。とても長い文章ではありません。" * 3, None), (100002, "Это текст на русском языке, который никто не учил. " * 3, None)], docs.schema)
