@@ -211,7 +211,7 @@ def snippet_window(spark: SparkSession, d: str) -> DataFrame:
 
 @query("iterative_search")
 def iterative_search(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(search.iterative(view(spark, d, "notes"), "with from", top=10))
+    return _ranked(search.iterative(view(spark, d, "all_notes"), "with from", top=10))
 
 
 @query("typed_search")
@@ -224,7 +224,7 @@ def typed_search(spark: SparkSession, d: str) -> DataFrame:
 
 @query("expansion_terms")
 def expansion_terms(spark: SparkSession, d: str) -> DataFrame:
-    notes = view(spark, d, "notes")
+    notes = view(spark, d, "all_notes")
     return search.expansion_terms(fulltext.bm25(notes, "with from", limit=20), notes, "with from")
 
 
@@ -251,7 +251,7 @@ def code_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query("markdown_chunks")
 def markdown_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.note_chunks(view(spark, d, "notes"))
+    return chunking.note_chunks(view(spark, d, "all_notes"))
 
 
 @query("chunk_router", "SELECT path, CASE WHEN length(content) <= 8000 THEN 'whole' ELSE 'chunks' END AS kind FROM {files}")

@@ -68,6 +68,11 @@ VIEWS = {
     "notes": """
         SELECT doc_id, path, concat('---\ntags: [', lang, ', ', source, ']\n---\n## Topic ', source, ' of ', lang, '\n', substring(text, 1, 3000), ' [[', source, '|x]] [l](', url, ') `id_', lang, '` see ', url, '.\n') AS content, summary
         FROM (SELECT d.doc_id, d.lang, d.source, d.text, f.path, f.summary, p.url FROM {documents} d JOIN {files} f ON d.doc_id = f.doc_id JOIN {pages} p ON d.doc_id = p.page_id)""",
+    # Every document with its whole text; without a page of the same number the url is made from doc_id.
+    "all_notes": """
+        SELECT doc_id, path, concat('---\ntags: [', lang, ', ', source, ']\n---\n## Topic ', source, ' of ', lang, '\n', text, ' [[', source, '|x]] [l](', url, ') `id_', lang, '` see ', url, '.\n') AS content, summary
+        FROM (SELECT d.doc_id, d.lang, d.source, d.text, f.path, f.summary, coalesce(p.url, concat('https://example.org/', CAST(d.doc_id AS STRING))) AS url
+              FROM {documents} d JOIN {files} f ON d.doc_id = f.doc_id LEFT JOIN {pages} p ON d.doc_id = p.page_id)""",
 }
 
 

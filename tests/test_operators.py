@@ -232,3 +232,16 @@ def test_stream_equals_batch(spark, tmp_path):
         ingest_stream(spark, source, target, f"{tmp_path}/check").awaitTermination()
     got = {r["path"]: r["content"] for r in spark.read.schema(FILES).parquet(f"{target}/v1").collect()}
     assert got == {"a": "1", "b": "2", "c": "2"}
+
+
+def test_every_document_is_a_note_with_its_whole_text(spark, data):
+    from loomgraph.plans import registry
+    from loomgraph.sources.tables import view
+
+    texts = {r["doc_id"]: r["text"] for r in view(spark, data, "documents").collect()}
+    got = view(spark, data, "all_notes").collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    assert all(texts[r["doc_id"]] in r["content"] for r in got)
+    long = {r["path"] for r in got if len(r["content"]) > chunking.WHOLE}
+    chunked = {r["path"] for r in registry.QUERIES["markdown_chunks"](spark, data).collect()}
+    assert long and long <= chunked
