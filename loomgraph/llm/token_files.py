@@ -3,7 +3,7 @@
 Documents are dealt by ranges of doc_id, encoded, and written as one ORC file a range, in ascending order of doc_id: integer
 run-length encoding for ids, a row index and a Bloom filter on doc_id in every stripe. Stripes are read in parallel, and a
 search for document ids skips files, stripes and row groups by their statistics and filters. ``start`` (ids before a document)
-comes from the files: sums by file, then by row inside each file.
+comes from the files: sums by part, then by row inside each part.
 
 Encoding keeps the ids of words in a bounded table. A byte-level vocabulary cuts texts before each single space and no token of
 it reaches across, so a text is the concatenation of its parts' ids; texts with double or no-break spaces or with what could be a
@@ -13,6 +13,7 @@ special token go through the tokenizer whole. New words are encoded many at a ti
 from __future__ import annotations
 
 import itertools
+import math
 import uuid
 import zlib
 
@@ -22,11 +23,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType, LongType, StringType
 
 from . import common as C
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
-STRIPE_BYTES, INDEX_STRIDE = 16 << 20, 1000
+STRIPE_BYTES, INDEX_STRIDE, BATCH_BYTES = 16 << 20, 1000, 8 << 20
 _CACHE = 1_000_000
 _SPACE = "Ġ"  # how a byte-level vocabulary writes a space
 
@@ -49,34 +51,34 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.at, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32), 0
+        self.led: dict[str, int] = {}  # numbers of words behind a space, written without it
+        self.first: dict[str, int] = {}  # numbers of words that begin a text
+        self.at, self.ids, self.n, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32), 0, 0
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.fromiter(itertools.chain.from_iterable(found), np.int32), np.array([len(x) for x in found], np.int64)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(itertools.chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words that each begin with their only space: joined, then cut before each token that begins with a space."""
-        ids, sizes = self._whole(["".join(words[i : i + 400]) for i in range(0, len(words), 400)])
-        lead = self.leads[ids]
-        by_group = np.add.reduceat(lead, np.cumsum(sizes) - sizes) if len(sizes) else sizes
-        if not lead[np.cumsum(sizes) - sizes].all() or (by_group[:-1] != 400).any() or by_group.sum() != len(words):
-            return self._whole(words)
+        """Ids of words behind a space: joined, then cut before each token that begins with a space."""
+        ids, sizes = self._whole([" " + " ".join(words[i : i + 400]) for i in range(0, len(words), 400)])
+        lead, begin = self.leads[ids], np.cumsum(sizes) - sizes
+        by_group = np.add.reduceat(lead, begin) if len(sizes) else sizes
+        if not lead[begin].all() or (by_group[:-1] != 400).any() or by_group.sum() != len(words):
+            return self._whole([" " + w for w in words])
         return ids, np.diff(np.flatnonzero(np.append(lead, True)))
 
-    def _numbers(self, words: list[str], encode) -> np.ndarray:
-        """The numbers of distinct words in the table; what is new goes in, encoded."""
-        known = self.known
-        get = known.get
-        out = np.array([get(w, -1) for w in words], np.int64)
+    def _numbers(self, known: dict[str, int], words: list[str], encode) -> np.ndarray:
+        """The numbers of distinct words in a table; what is new goes in, encoded."""
+        out = np.fromiter(map(known.get, words, itertools.repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(out < 0)
         if not len(missing):
             return out
         new = [words[i] for i in missing.tolist()]
         ids, sizes = encode(new)
-        k, end = len(known), self.used + len(ids)
+        k, end = self.n, self.used + len(ids)
         if k + len(new) >= len(self.at):
             self.at = np.concatenate([self.at, np.zeros(k + len(new), np.int64)])
         if end > len(self.ids):
@@ -84,7 +86,7 @@ class Encoder:
         self.ids[self.used : end] = ids
         np.cumsum(sizes, out=self.at[k + 1 : k + len(new) + 1])
         self.at[k + 1 : k + len(new) + 1] += self.used
-        self.used = end
+        self.n, self.used = k + len(new), end
         known.update(zip(new, range(k, k + len(new)), strict=True))
         out[missing] = np.arange(k, k + len(new))
         return out
@@ -98,14 +100,13 @@ class Encoder:
         flat = parts.values.slice(off[0], off[-1] - off[0])
         off -= off[0]
         coded = flat.dictionary_encode()
-        code = coded.indices.to_numpy().astype(np.int64)
-        words = [" " + w for w in coded.dictionary.to_pylist()]
-        first = flat.take(pa.array(off[:-1])).to_pylist()  # these have no space before them
-        if len(self.known) + len(words) + len(first) > _CACHE:
+        words = coded.dictionary.to_pylist()
+        first = flat.take(pa.array(off[:-1])).unique().to_pylist()  # these have no space before them
+        if self.n + len(words) + len(first) > _CACHE:
             self._forget()
-        number = self._numbers(words, self._words)[code]
-        self._numbers(sorted(set(first)), self._whole)
-        number[off[:-1]] = [self.known[w] for w in first]
+        number = self._numbers(self.led, words, self._words)[coded.indices.to_numpy()]
+        self._numbers(self.first, first, self._whole)
+        number[off[:-1]] = [self.first[w] for w in flat.take(pa.array(off[:-1])).to_pylist()]
         begin, size = self.at[number], self.at[number + 1] - self.at[number]
         total = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=total[1:])
@@ -133,21 +134,53 @@ def encoder(path: str) -> Encoder:
     return _LOADED[path]
 
 
+def _large(batches, most: int = BATCH_BYTES):
+    """Batches of about ``most`` bytes of text from smaller ones."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column(1).nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows by ascending ranges of doc_id, the ranges' bounds from the ids alone (numbers), so that no text is read for them."""
+    if not isinstance(rows.schema["doc_id"].dataType, IntegralType):
+        return rows.repartitionByRange(parts, "doc_id")
+    shares = [(i + 1) / parts for i in range(parts - 1)]
+    bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", shares, 100 * parts)).first()[0] or [])) if shares else []
+    if not bounds:
+        return rows.coalesce(1) if parts == 1 else rows.repartitionByRange(parts, "doc_id")
+    # The number of bounds below an id, by the tops of blocks first: twice the root of their number of comparisons.
+    step, kind = math.isqrt(len(bounds)) + 1, rows.schema["doc_id"].dataType
+    lit = lambda some: F.array(*[F.lit(int(b)).cast(kind) for b in some])
+    lower = lambda some: F.size(F.filter(some, lambda b: b < F.col("doc_id")))
+    block = lower(lit(bounds[step - 1 :: step])) * step
+    below = block + lower(F.slice(lit(bounds), block + 1, F.lit(step)))
+    return rows.repartitionById(len(bounds) + 1, F.when(F.col("doc_id").isNull(), 0).otherwise(below).cast("int"))
+
+
 def write_tokens(docs: DataFrame, out: str, vocabulary: str | None = None, end_id: int = END_ID) -> None:
-    """Write doc_id, ordinal (row number in its file), n_tokens, ids as ORC files under ``out``, in ascending doc_id order.
+    """Write doc_id, part, ordinal (row number in its part), n_tokens, ids as ORC files under ``out``, in ascending doc_id order.
 
     Null text counts as empty: its only id is the end id. Rows that repeat a doc_id are all written, ordered by their text's
-    hash; null doc_ids come first. Empty input writes no rows.
+    hash; null doc_ids come first. doc_id keeps its type. Very long texts are encoded alone. Empty input writes no rows.
     """
     spark = docs.sparkSession
     C.small_batches(spark, 1000)
     vocabulary = vocabulary or vocabulary_path()
+
     def run(batches):
-        e, seen = encoder(vocabulary), 0
-        for batch in batches:
+        from pyspark import TaskContext
+
+        e, seen, part = encoder(vocabulary), 0, TaskContext.get().partitionId()
+        for batch in _large(batches):
             texts = batch.column(1).fill_null("")
-            size = pc.binary_length(texts).to_pylist()
-            for a, b in C.ranges(size, 1 << 22):
+            for a, b in C.ranges(pc.binary_length(texts).to_pylist(), 2 * BATCH_BYTES):
                 off, ids = e.encode(texts.slice(a, b - a))
                 to = off + np.arange(b - a + 1)
                 with_end = np.full(to[-1], end_id, np.int32)
@@ -155,18 +188,19 @@ def write_tokens(docs: DataFrame, out: str, vocabulary: str | None = None, end_i
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
+                        pa.array(np.full(b - a, part, np.int32)),
                         pa.array(np.arange(seen, seen + b - a, dtype=np.int64)),
                         pa.array(np.diff(to).astype(np.int64)),
                         pa.ListArray.from_arrays(to.astype(np.int32), pa.array(with_end)),
                     ],
-                    ["doc_id", "ordinal", "n_tokens", "ids"],
+                    ["doc_id", "part", "ordinal", "n_tokens", "ids"],
                 )
                 seen += b - a
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = rows.repartitionByRange(parts, "doc_id").withColumn("h", F.xxhash64("text")).sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    done = dealt.mapInArrow(run, "doc_id long, ordinal long, n_tokens long, ids array<int>")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    dealt = _dealt(rows, parts).withColumn("_h", F.xxhash64("text")).sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
+    done = dealt.mapInArrow(run, _schema(docs.schema["doc_id"].dataType))
     options = {
         "compression": "snappy",
         "orc.stripe.size": str(STRIPE_BYTES),
@@ -178,34 +212,42 @@ def write_tokens(docs: DataFrame, out: str, vocabulary: str | None = None, end_i
     done.write.options(**options).orc(out)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("doc_id long, ordinal long, n_tokens long, ids array<int>").orc(path)
+def _schema(kind: DataType) -> str:
+    return f"doc_id {kind.simpleString()}, part int, ordinal long, n_tokens long, ids array<int>"
 
 
-def find(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str, kind: DataType | None = None) -> DataFrame:
+    return spark.read.schema(_schema(kind or LongType())).orc(path)
+
+
+def find(spark: SparkSession, path: str, doc_ids: list) -> DataFrame:
     """The rows of some documents; the filter reaches the files' statistics and Bloom filters."""
-    return read_tokens(spark, path).filter(F.col("doc_id").isin([int(x) for x in doc_ids]))
+    kind = StringType() if doc_ids and isinstance(doc_ids[0], str) else LongType()
+    return read_tokens(spark, path, kind).filter(F.col("doc_id").isin(list(doc_ids)))
 
 
-def digests(spark: SparkSession, path: str) -> DataFrame:
+def digests(spark: SparkSession, path: str, kind: DataType | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every row, from the files alone."""
-    C.small_batches(spark, 500)
-    sums = read_tokens(spark, path).groupBy(F.col("_metadata.file_name").alias("f")).agg(F.sum("n_tokens").alias("n"))
-    before = W.orderBy("f").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select("f", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # a row for each file
+    C.small_batches(spark, 1000)
+    files = read_tokens(spark, path, kind)
+    sums = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # a row for each part
 
     def run(batches):
         for batch in batches:
             lists = batch.column(3)
-            off, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4")
-            crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(off[:-1], off[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(off).astype(np.int64)), pa.array(crc, pa.int64())], ["f", "doc_id", "ordinal", "n_tokens", "ids_crc32"])
-
-    rows = read_tokens(spark, path).select(F.col("_metadata.file_name").alias("f"), "doc_id", "ordinal", "ids")
-    rows = rows.mapInArrow(run, "f string, doc_id long, ordinal long, n_tokens long, ids_crc32 long")
-    inside = W.partitionBy("f").orderBy("ordinal").rowsBetween(W.unboundedPreceding, -1)
+            off = lists.offsets.to_numpy()
+            raw = memoryview(lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)).cast("B")
+            ends = (off.astype(np.int64) * 4).tolist()
+            crc = [zlib.crc32(raw[a:b]) for a, b in itertools.pairwise(ends)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(off).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "part", "ordinal", "n_tokens", "ids_crc32"])
+
+    key = files.schema["doc_id"].dataType.simpleString()
+    rows = files.select("doc_id", "part", "ordinal", "ids").mapInArrow(run, f"doc_id {key}, part int, ordinal long, n_tokens long, ids_crc32 long")
+    inside = W.partitionBy("part").orderBy("ordinal").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("s", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    return rows.join(sums, "f").select("doc_id", (F.col("base") + F.col("s")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(sums, "part").select("doc_id", (F.col("base") + F.col("s")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
