@@ -61,32 +61,82 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _with(value: Column, f) -> Column:
+    """``f`` of a value that is computed once: a lambda's body would compute an outer expression again for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _blocks(a: Column, size: Column) -> Column:
+    """An array cut into arrays of ``size``; both have to be bound names."""
+    some = F.transform(F.sequence(F.lit(1), F.size(a), size), lambda i: F.slice(a, i, size))
+    return F.when(F.size(a) > 0, some).otherwise(F.array())
+
+
+def _root(n: Column) -> Column:
+    return F.greatest(F.lit(16), F.ceil(F.sqrt(n.cast("double"))).cast("int"))
+
+
+def _sums(steps: Column) -> Column:
+    """Running sums of an array of integers, each with its own element. Folds copy what they have gathered, so they go by blocks of
+    the root of the length: n to the power of 1.5 altogether, where one fold is quadratic."""
+    none = F.array().cast("array<int>")
+
+    def gathered(first: Column, a: Column) -> Column:
+        begin = F.struct(first.alias("at"), none.alias("out"))
+        step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out"))
+        return F.aggregate(a, begin, step)["out"]
+
+    def by_blocks(blocks: Column) -> Column:
+        whole = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + x))
+        ends = gathered(F.lit(0), whole)
+        return _with(ends, lambda e: F.flatten(F.transform(blocks, lambda b, i: gathered(F.when(i > 0, F.get(e, i - 1)).otherwise(F.lit(0)), b))))
+
+    return _with(steps, lambda a: _with(_blocks(a, _root(F.size(a))), by_blocks))
+
+
 def _matches(text: Column, kind: str) -> Column:
     """Valid matches of a kind with code-point offsets: what lies between the matches gives the places."""
-    gaps, found = F.split(text, PATTERN[kind], -1), F.regexp_extract_all(text, F.lit(PATTERN[kind]), F.lit(0))
     empty = F.array().cast(f"array<{SPAN}>")
 
-    def step(acc, i):
-        gap, m = F.get(gaps, i), F.get(found, i)
-        start = acc["at"] + F.length(gap)
-        end = start + F.length(m)
-        one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), m.alias("m"), F.right(gap, F.lit(24)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(8)).alias("after"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def spans(gaps: Column, found: Column) -> Column:
+        def one(i: Column, ends: Column) -> Column:
+            m = F.get(found, i)
+            return F.struct(F.lit(kind).alias("kind"), (F.get(ends, i) - F.length(m)).alias("start"), F.get(ends, i).alias("end"), m.alias("m"), F.right(F.get(gaps, i), F.lit(24)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(8)).alias("after"))
 
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    all_ = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step)["out"]
-    some = F.when(F.size(found) > 0, F.filter(all_, lambda s: _valid(kind, s["m"]))).otherwise(empty)
+        steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
+        return _with(_sums(steps), lambda ends: F.transform(F.sequence(F.lit(0), F.size(found) - 1), lambda i: one(i, ends)))
+
+    def some(both: Column) -> Column:
+        all_ = spans(both["gaps"], both["found"])
+        return F.when(F.size(both["found"]) > 0, F.filter(all_, lambda s: _valid(kind, s["m"]))).otherwise(empty)
+
+    both = F.struct(F.split(text, PATTERN[kind], -1).alias("gaps"), F.regexp_extract_all(text, F.lit(PATTERN[kind]), F.lit(0)).alias("found"))
     gate = F.contains(text, F.lit(_NEED[kind])) if kind in _NEED else text.rlike(PATTERN[kind])
-    return F.when(gate, some).otherwise(empty)
+    return F.when(gate, _with(both, some)).otherwise(empty)
+
+
+def _apart(wide: Column, base: Column) -> Column:
+    """The spans of ``wide`` that meet none of ``base``: tested against blocks of sorted base spans first, then inside those that they meet."""
+
+    def tested(blocks: Column) -> Column:
+        meets = lambda w, x: (x["start"] < w["end"]) & (w["start"] < x["end"])
+        return F.filter(wide, lambda w: ~F.exists(blocks, lambda k: meets(w, k) & F.exists(k["spans"], lambda x: meets(w, x))))
+
+    def blocks(sorted_: Column) -> Column:
+        cut = _blocks(sorted_, _root(F.size(sorted_)))
+        return F.transform(cut, lambda k: F.struct(F.array_min(F.transform(k, lambda x: x["start"])).alias("start"), F.array_max(F.transform(k, lambda x: x["end"])).alias("end"), k.alias("spans")))
+
+    ends = F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    return _with(ends, lambda e: _with(blocks(e), tested))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id and its candidate spans by kind, then start; a span of a wider kind that meets a base span is left out."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     cols = docs.select("doc_id", text.alias("text")).select("doc_id", *[_matches(F.col("text"), k).alias(k) for k in KINDS])
-    base, wide = F.concat(*[F.col(k) for k in BASE]), F.concat(*[F.col(k) for k in WIDE])
-    free = F.filter(wide, lambda w: ~F.exists(base, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    return cols.select("doc_id", F.concat(base, F.when(F.size(wide) > 0, free).otherwise(wide)).alias("spans"))
+    found = cols.select("doc_id", F.concat(*[F.col(k) for k in BASE]).alias("base"), F.concat(*[F.col(k) for k in WIDE]).alias("wide"))
+    free = F.when(F.size("wide") > 0, _apart(F.col("wide"), F.col("base"))).otherwise(F.col("wide"))
+    return found.select("doc_id", F.concat("base", free).alias("spans"))
 
 
 def _votes(s: Column) -> list[Column]:
@@ -186,7 +236,8 @@ def _score(s: Column, model: dict) -> Column:
 def personal_spans(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """doc_id and its spans (kind, start, end, base, score), one row per input row: base ones and those that were added.
 
-    Null text counts as empty. Repeated rows give repeated results. Empty input gives no rows.
+    Null text counts as empty. Texts of any length are read whole; the work grows with the power of 1.5 of a text's matches at most.
+    Repeated rows give repeated results, doc_id may be of any type, other columns are ignored. Empty input gives no rows.
     """
     found = C.staged(with_votes(candidates(docs)), "candidates")
     counted = found.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes").agg(F.count("*").alias("n")).orderBy("kind", "votes")
@@ -204,28 +255,55 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by ``[KIND]``; of overlapping spans the one that begins first (then is longer) counts."""
+    """The text with each span replaced by ``[KIND]``; of overlapping spans the one that begins first (then is longer) counts.
+
+    Spans go by blocks of the root of their number: a block's part of the text is cut out once, its pieces are cut from that part.
+    """
     order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus_end"), s["kind"].alias("kind"))))
+    part_type = "struct<at:int,out:array<string>>"
+
+    def pieces(block: Column, at: Column) -> Column:
+        """What stands from ``at`` to the end of the block's last span, masked, and that end."""
+        last = F.greatest(at, F.array_max(F.transform(block, lambda s: -s["minus_end"])))
 
-    def step(acc, s):
-        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.when(s["start"] >= acc["at"], F.struct((-s["minus_end"]).alias("at"), piece.alias("out"))).otherwise(acc)
+        def cut(part: Column) -> Column:
+            def step(acc: Column, s: Column) -> Column:
+                one = F.concat(F.substring(part, acc["at"] - at + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+                return F.when(s["start"] >= acc["at"], F.struct((-s["minus_end"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))).otherwise(acc)
 
-    acc = F.aggregate(order, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return F.when(F.size(spans) > 0, F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))).otherwise(text)
+            return F.aggregate(block, F.struct(at.alias("at"), F.array().cast("array<string>").alias("out")).cast(part_type), step)
+
+        return _with(F.substring(text, at + 1, last - at), cut)
+
+    def joined(blocks: Column) -> Column:
+        def step(acc: Column, block: Column) -> Column:
+            return _with(pieces(block, acc["at"]), lambda p: F.struct(p["at"].alias("at"), F.concat(acc["out"], F.array(F.array_join(p["out"], ""))).alias("out")))
+
+        return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(part_type), step)
+
+    whole = _with(order, lambda o: _with(_blocks(o, _root(F.size(o))), joined))
+    out = _with(whole, lambda w: F.concat(F.array_join(w["out"], ""), F.substring(text, w["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, out).otherwise(text)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: personal data is masked in the texts, n_chars follows; all documents and columns stay."""
-    keyed = docs.select("doc_id", "text").withColumn("_key", F.xxhash64(F.col("text").cast("string")))
-    found = personal_spans(keyed.select(F.struct("doc_id", "_key").alias("doc_id"), "text")).filter(F.size("spans") > 0)
-    found = found.select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id._key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_key"])
-    on = docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"].cast("string")) == found["_key"])
-    new = F.when(F.col("_spans").isNotNull(), masked(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
-    out = docs.join(found, on, "left").withColumn("text", new)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    """Pipeline stage: personal data is masked in the texts, n_chars follows; all documents and columns stay.
+
+    Null and empty texts stay as they are, texts of any length are masked whole; rows that repeat a doc_id are masked each by its own
+    text, equal rows alike. Other columns may have any name. An empty table gives an empty one.
+    """
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    key = F.xxhash64(F.col("row.text").cast("string"))
+    asked = whole.select(F.struct(F.col("row.doc_id").alias("id"), key.alias("key")).alias("doc_id"), F.col("row.text").alias("text"))
+    found = personal_spans(asked).filter(F.size("spans") > 0).dropDuplicates(["doc_id"]).select(F.col("doc_id.id").alias("id"), F.col("doc_id.key").alias("key"), "spans")
+    keyed = whole.select("row", F.col("row.doc_id").alias("row_id"), key.alias("row_key"))
+    both = keyed.join(found, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_key") == F.col("key")), "left")
+    hit, text = F.col("spans").isNotNull(), F.col("row.text").cast("string")
+    new = {"text": F.when(hit, masked(text, F.col("spans"))).otherwise(text).cast(docs.schema["text"].dataType)}
+    out = both.select("row", "spans", new["text"].alias("new"))
+    kind = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
+    sized = F.when(F.col("spans").isNotNull(), F.length("new").cast(kind)).otherwise(F.col("row.n_chars")) if kind is not None else None
+    return out.select(*[F.col("new").alias(c) if c == "text" else sized.alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,8 +28,8 @@ from pyspark.sql.types import DataType, IntegralType, LongType, StringType
 from . import common as C
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
-STRIPE_BYTES, INDEX_STRIDE, BATCH_BYTES = 16 << 20, 1000, 8 << 20
-_CACHE = 1_000_000
+STRIPE_BYTES, INDEX_STRIDE, BATCH_BYTES = 16 << 20, 1000, 6 << 20
+_CACHE = 800_000
 _SPACE = "Ġ"  # how a byte-level vocabulary writes a space
 
 
@@ -110,7 +110,11 @@ class Encoder:
         begin, size = self.at[number], self.at[number + 1] - self.at[number]
         total = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=total[1:])
-        ids = self.ids[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
+        kind = np.int32 if total[-1] + self.used < 2**31 else np.int64  # half the memory, unless a text is immense
+        at = np.repeat((begin - total[:-1]).astype(kind), size)
+        at += np.arange(total[-1], dtype=kind)
+        ids = self.ids[at]
+        del at
         ends = total[off]
         if not odd.any():
             return ends, ids
