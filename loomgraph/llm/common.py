@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from ..session import ship
 
 _OWN: list[str] = []
+_SCRATCH: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local session gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="loomgraph-"))
     return _OWN[0]
@@ -34,18 +40,36 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for written in _SCRATCH:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete the tables that were staged inside, but those that are taken off the list."""
+    written: list[str] = []
+    _SCRATCH.append(written)
+    try:
+        yield written
+    finally:
+        _SCRATCH.remove(written)
+        for path in written:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_staged(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing reads any more."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     root = shared_dir(spark)
     for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
         if f.split(":", 1)[-1].lstrip("/").startswith(root.split(":", 1)[-1].lstrip("/")):
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, f)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -54,6 +78,21 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def bounds_below(value: Column, bounds: list, kind: DataType, equal: bool = False) -> Column:
+    """How many of the ascending bounds are below a value (or equal to it, with ``equal``).
+
+    The tops of blocks are compared first, then one block: twice the root of the bounds' number of comparisons.
+    """
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds)) + 1
+    array = lambda some: F.array(*[F.lit(b).cast(kind) for b in some])
+    lower = lambda some: F.size(F.filter(some, lambda b: (b <= value) if equal else (b < value)))
+    tops = bounds[step - 1 :: step]
+    block = lower(array(tops)) * step if tops else F.lit(0)
+    return block + lower(F.slice(array(bounds), block + 1, F.lit(step)))
+
+
 def ascii_lower(col):
     """A-Z to a-z and nothing else (``lower`` would change other letters too)."""
     upper, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -43,7 +43,6 @@ def contamination(docs: DataFrame, bench: DataFrame, n: int = N, least_items: in
     A word inside any occurrence of a window is hit. Null and wordless texts have no words and no hits. Rows that repeat a
     doc_id are judged each by its own text. An empty benchmark hits nothing; items without words are ignored.
     """
-    spark = docs.sparkSession
     windows = C.staged(benchmark_windows(bench, n), "windows")
     lengths = sorted(r[0] for r in windows.select("len").distinct().collect())  # at most n numbers
     ids = windows.groupBy("w").agg(F.max("len").alias("len"))
@@ -70,7 +69,6 @@ def contamination(docs: DataFrame, bench: DataFrame, n: int = N, least_items: in
     out = out.select("d.doc_id", "d.key", "d.n_words", "d.hits", "d.copies", F.coalesce("i.items", F.array().cast("array<string>")).alias("items"))
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["pos"], h["pos"] + h["len"] - 1))))
     out = out.select("*", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_one"))
-    del spark
     return out.select(
         "doc_id",
         "key",
@@ -84,20 +82,44 @@ def contamination(docs: DataFrame, bench: DataFrame, n: int = N, least_items: in
 
 
 def without_spans(text: Column, hits: Column) -> Column:
-    """The text without its hit words (with what separates them from the words before)."""
-    low = C.ascii_lower(F.coalesce(text, F.lit("")))
-    gaps = F.split(F.coalesce(text, F.lit("")), r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", -1)
-    ws = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
-    covered = F.array_distinct(F.flatten(F.transform(hits, lambda h: F.sequence(h["pos"], h["pos"] + h["len"] - 1))))
-    keep = F.transform(ws, lambda w, i: F.when(F.array_contains(covered, (i + 1).cast("int")), F.lit("")).otherwise(F.concat(F.get(gaps, i), w)))
-    del low
-    return F.concat(F.array_join(keep, ""), F.element_at(gaps, -1))
+    """The text without its hit words (with what separates them from the words before), in time in proportion to its words."""
+    body = F.coalesce(text, F.lit(""))
+    word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  computed once, not for each word
+
+    def kept(both: Column) -> Column:
+        covered = F.flatten(F.transform(hits, lambda h: F.sequence(h["pos"], h["pos"] + h["len"] - 1)))
+        left = F.array_except(F.sequence(F.lit(1), F.size(both["ws"])), covered)
+        pieces = F.transform(left, lambda i: F.concat(F.get(both["gaps"], i - 1), F.get(both["ws"], i - 1)))
+        return F.concat(F.array_join(pieces, ""), F.element_at(both["gaps"], -1))
+
+    both = F.struct(F.split(body, word, -1).alias("gaps"), F.regexp_extract_all(body, F.lit(word), F.lit(0)).alias("ws"))
+    return F.when(F.size(hits) > 0, bound(both, kept)).otherwise(text)
+
+
+def removed(docs: DataFrame, bench: DataFrame, n: int = N, spans: bool = False, least_items: int = 1) -> DataFrame:
+    """The documents without those that hit ``least_items`` items or more, or, with ``spans``, all of them without their hit words.
+
+    Null, empty and wordless texts hit nothing. Texts of any length are judged whole. Rows that repeat a doc_id are judged each by its
+    own text, equal rows alike. Other columns may have any name. An empty table or an empty benchmark removes nothing.
+    """
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    keyed = whole.select("row", F.col("row.doc_id").alias("row_id"), F.xxhash64(F.col("row.text").cast("string")).alias("row_key"))
+    found = contamination(docs.select("doc_id", "text"), bench, n, least_items=least_items).filter("contaminated").select("doc_id", "key", "hits").dropDuplicates(["doc_id", "key"])
+    on = F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.col("row_key") == F.col("key"))
+    if not spans:
+        return keyed.join(found, on, "left_anti").select("row.*")
+    out = keyed.join(found, on, "left")
+    text = F.when(F.col("hits").isNotNull(), without_spans(F.col("row.text").cast("string"), F.col("hits"))).otherwise(F.col("row.text").cast("string"))
+    return out.select(*[text.cast(docs.schema["text"].dataType).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents with a window of any benchmark item go (op9's flag asks for two items); the others stay as they came."""
-    found = contamination(docs, C.table(spark, sf_dir, "benchmark"), least_items=1).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"].cast("string")) == found["_key"]), "left_anti")
+    """Pipeline stage: documents with a window of any benchmark item go (op9's flag asks for two items); the others stay as they came.
+
+    For nulls, long texts, repeated rows, ties, clashing columns and empty tables see ``removed``.
+    """
+    return removed(docs, C.table(spark, sf_dir, "benchmark"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

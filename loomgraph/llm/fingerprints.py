@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType
 
 from . import common as C
 
@@ -48,6 +49,12 @@ def _signs(ends: np.ndarray, sums: np.ndarray, inv: np.ndarray, n: int) -> str:
     return _SIGN[(h >> np.uint64(58)).astype(np.int64)].tobytes().decode()
 
 
+def _cuts(h: np.ndarray, k: int) -> np.ndarray:
+    """Where a block of size ``3 * 2**k`` ends; ``h`` is the rolling hash and one."""
+    at = np.flatnonzero((h & np.uint32((1 << k) - 1)) == 0)
+    return at[h[at] % np.uint32(3) == 0]
+
+
 def fingerprint(text: bytes) -> str:
     n = len(text)
     if not n:
@@ -60,12 +67,14 @@ def fingerprint(text: bytes) -> str:
     k = 0
     while 3 * (1 << k) * SIGNS < n:
         k += 1
-    at = np.flatnonzero((h & np.uint32((1 << max(0, k - 4)) - 1)) == 0)
     low = max(0, k - 4)
-    at = at[h[at] % np.uint32(3) == 0]
+    at = _cuts(h, low)
     ends = lambda j: at[(h[at] & np.uint32((1 << j) - 1)) == 0]
-    while k > low and len(ends(k)) < SIGNS // 2 - 1:
+    while k and len(ends(k)) < SIGNS // 2 - 1:
         k -= 1
+        if k < low:
+            low = max(0, low - 4)
+            at = _cuts(h, low)
     return f"{3 << k}:{_signs(ends(k), sums, inv, n)}:{_signs(ends(k + 1), sums, inv, n)}"
 
 
@@ -120,88 +129,82 @@ def _row(doc, text: str, fp: str, following: str, next_fp: str) -> tuple:
     return doc, len(text), hashlib.sha256(raw).hexdigest(), fp, efp, likeness(fp, efp), likeness(fp, next_fp)
 
 
-_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_NAMES = [x.split()[0] for x in _OUT.split(", ")]
-
-
-def _dealt(bounds: list[int]):
-    """Rows by descending doc_id in ranges; the first row of each range also goes, as a guest, to the range before it."""
-    up = np.array(bounds[::-1], np.int64)
-
-    def run(batches):
-        for batch in batches:
-            doc = batch.column(0)
-            null = doc.is_null().to_numpy(zero_copy_only=False)
-            ids = doc.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            last = len(bounds) - 1
-            part = np.where(null, last, last - (np.searchsorted(up, ids, side="left"))).astype(np.int32) if last >= 0 else np.zeros(len(ids), np.int32)
-            part = np.clip(part, 0, max(last, 0))
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.zeros(len(ids), bool)), doc, batch.column(1)], ["part", "guest", "doc_id", "text"])
-            first = np.flatnonzero(~null & np.isin(ids, up))
-            if len(first):
-                to = (part[first] - 1) % max(1, len(bounds))
-                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(np.ones(len(first), bool)), doc.take(pa.array(first)), batch.column(1).take(pa.array(first))], ["part", "guest", "doc_id", "text"])
-
-    return run
+_OUT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_NAMES = ["doc_id", *[x.split()[0] for x in _OUT.split(", ")]]
+_KINDS = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
 
 def _compared(batches):
+    """Rows in order, each with the one after it; a part ends with the next one's first row as a guest, or else with its own first row."""
     rows: list[tuple] = []
-    held: tuple | None = None  # part, doc_id, text, fingerprint: waits for the document after it
+    held = first = part_now = None  # doc_id, text, fingerprint: waits for the document after it
+    kind = pa.null()
 
     def flush():
         cols = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()], strict=True)], _NAMES)
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [kind, *_KINDS], strict=True)], _NAMES)
 
     for batch in batches:
+        kind = batch.column(2).type
         for part, guest, doc, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             text = text or ""
-            if guest and (held is None or held[0] != part):
+            if guest and (held is None or part_now != part):
                 continue
-            fp = fingerprint(text.encode("utf-8", "surrogatepass"))
+            now = (doc, text, fingerprint(text.encode("utf-8", "surrogatepass")))
             if held is not None:
-                rows.append(_row(*held[1:], text, fp))
-            held = None if guest else (part, doc, text, fp)
+                rows.append(_row(*held, *now[1:]))
+            else:
+                first = now
+            held, part_now = (None if guest else now), part
             if len(rows) >= 500:
                 yield flush()
-                rows.clear()
     if held is not None:
-        raise RuntimeError("a document has none after it")
+        rows.append(_row(*held, *first[1:]))
     if rows:
         yield flush()
 
 
+def _bounds(rows: DataFrame, parts: int) -> list:
+    """Descending ids that begin the ranges; the largest one is among them."""
+    if isinstance(rows.schema["doc_id"].dataType, IntegralType):
+        found = rows.agg(F.percentile_approx("doc_id", [1 - i / parts for i in range(parts)], 100 * parts).alias("b"), F.max("doc_id").alias("top")).first()
+        some = found["b"] or []
+    else:  # other kinds of ids: every twentieth of those with the least hashes, a bounded number of them
+        known = rows.select("doc_id").filter("doc_id is not null")
+        some = sorted(r["doc_id"] for r in known.orderBy(F.xxhash64("doc_id")).limit(20 * parts).collect())[::20]
+        found = known.agg(F.max("doc_id").alias("top")).first()
+    return sorted({*some, *([found["top"]] if found["top"] is not None else [])}, reverse=True)
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per input row, see ``_OUT``; documents follow each other by descending doc_id, after the last comes the first.
 
     Null text counts as empty (fingerprint ``3::``). Of rows that repeat a doc_id the order is that of their texts' hashes; null
-    doc_ids come last. A single document follows itself. Empty input gives no rows. Each text is dealt once, by ranges of
-    doc_id; only the first of each range goes to two of them.
+    doc_ids come last. A single document follows itself. doc_id may be of any type that has an order; very long texts are read
+    whole; other columns are ignored. Empty input gives no rows. Each text is dealt once, by ranges of doc_id; only the first of
+    each range goes to two of them.
     """
     spark = docs.sparkSession
     C.small_batches(spark, 500)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = [1 - i / parts for i in range(parts)]
-    found = rows.agg(F.percentile_approx("doc_id", shares, 100 * parts).alias("b"), F.max("doc_id").alias("top")).first()
-    bounds = sorted({*(found["b"] or []), *([found["top"]] if found["top"] is not None else [])}, reverse=True)
-    if not bounds:  # no doc_id but null: one range, which closes on its own first row
-        return _few(rows)
-    dealt = rows.mapInArrow(_dealt(bounds), "part int, guest boolean, doc_id long, text string").withColumn("h", F.xxhash64("text"))
-    dealt = dealt.repartitionById(len(bounds), "part").sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), "h")
-    return dealt.select("part", "guest", "doc_id", "text").mapInArrow(_compared, _OUT)
-
-
-def _few(rows: DataFrame) -> DataFrame:
-    def run(batches):
-        texts = sorted((t or "" for b in batches for t in b.column(1).to_pylist()))
-        fps = [fingerprint(t.encode("utf-8", "surrogatepass")) for t in texts]
-        out = [_row(None, t, f, texts[(i + 1) % len(texts)], fps[(i + 1) % len(texts)]) for i, (t, f) in enumerate(zip(texts, fps, strict=True))]
-        if out:
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], _NAMES)
-
-    return rows.coalesce(1).mapInArrow(run, _OUT)
+    kind = docs.schema["doc_id"].dataType
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    bounds = _bounds(rows, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # The first rows of a range also go, as guests, to the range before it. Without bounds (no doc_id but null) there is one range.
+    return _ranged(rows, bounds, max(1, len(bounds)), kind)
+
+
+def _ranged(rows: DataFrame, bounds: list, n: int, kind: DataType) -> DataFrame:
+    up = bounds[::-1]
+    above = F.lit(len(up)) - C.bounds_below(F.col("doc_id"), up, kind)  # bounds that are the id or more
+    own = F.when(F.col("doc_id").isNull(), n - 1).otherwise(above - 1) if up else F.lit(0)
+    begins = (C.bounds_below(F.col("doc_id"), up, kind, equal=True) > C.bounds_below(F.col("doc_id"), up, kind)) if up else F.lit(False)
+    entry = lambda part, guest: F.struct(part.cast("int").alias("part"), F.lit(guest).alias("guest"))
+    placed = rows.withColumn("own", own)
+    both = F.when(begins, F.array(entry(F.col("own"), False), entry(F.pmod(F.col("own") - 1, F.lit(n)), True))).otherwise(F.array(entry(F.col("own"), False)))
+    dealt = placed.select(F.explode(both).alias("e"), "doc_id", "text").select("e.part", "e.guest", "doc_id", "text", F.xxhash64("text").alias("h"))
+    dealt = dealt.repartitionById(n, "part").sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), "h")
+    return dealt.select("part", "guest", "doc_id", "text").mapInArrow(_compared, f"doc_id {kind.simpleString()}, {_OUT}")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ calibrated by a temperature fitted on training documents that were set aside, an
 confidence is under a threshold taken from the same documents. As the classifier is linear, bucket rows times output matrix
 give one small table of logits by bucket, which is what the workers look up: about 1 MB with four languages, whatever the input.
 
-Training uses at most ``PER_LANG`` labelled documents of each language, those with the least hashes of doc_id; this bound is
-a parameter. Every document is read whole, in training and in prediction.
+Training uses at most ``PER_LANG`` labelled rows of each language, those with the least hashes of doc_id; this bound is a
+parameter, and what the driver gets of each is a share for each bucket. Every document is read whole, in training and in prediction.
 """
 
 from __future__ import annotations
@@ -138,14 +138,16 @@ class Model:
         return [UNKNOWN if z else self.langs[b] for b, z in zip(best, none, strict=True)], score, none | (score < self.threshold)
 
 
-def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
-    """Fit on three quarters, calibrate temperature and threshold on the rest. One language or none is allowed."""
+def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int = 7) -> Model:
+    """Fit on three quarters of the texts, given by bucket numbers and shares; temperature and threshold come from the rest.
+
+    One language or none is allowed.
+    """
     langs = sorted(set(labels))
     if not langs:
         return Model([UNKNOWN], np.zeros((BUCKETS, 1), np.float32), np.zeros(1), 1.0, 0.0)
     y = np.array([langs.index(x) for x in labels])
     rng = np.random.default_rng(seed)
-    ids, share, off = _counts(texts)
     e = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     w, bias = np.zeros((DIM, len(langs)), np.float32), np.zeros(len(langs), np.float32)
     order = rng.permutation(len(y))
@@ -154,7 +156,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for i in rng.permutation(fit):
-            u, s = ids[off[i] : off[i + 1]], share[off[i] : off[i + 1]]
+            u, s = rows[i]
             if not len(u):
                 continue
             h = s @ e[u]
@@ -167,12 +169,12 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
             e[u] -= rate * 10 * s[:, None] * back
     seen = np.zeros(BUCKETS, bool)
     for i in fit:
-        seen[ids[off[i] : off[i + 1]]] = True
+        seen[rows[i][0]] = True
     e[~seen] = 0  # subwords that training never met say nothing
     model = Model(langs, (e @ w).astype(np.float32), bias.astype(np.float64), 1.0, 0.0)
-    x, n = model.logits([texts[i] for i in held])
-    x, t = x[n > 0], y[held][n > 0]
-    if len(t):
+    held = [i for i in held if len(rows[i][0])]
+    if held:
+        x, t = np.array([rows[i][1] @ model.table[rows[i][0]] for i in held], np.float64) + model.bias, y[held]
         loss = lambda q: -np.log(np.maximum(1e-12, _softmax(x / q)[np.arange(len(t)), t])).mean()
         grid = np.geomspace(0.5, 10, 61)  # languages that are told apart without fault would sharpen it without end
         model.temperature = float(grid[np.argmin([loss(q) for q in grid])])
@@ -184,26 +186,32 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
 
 
 def sample(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
-    """(text, lang) of at most ``per_lang`` labelled documents of each language, those with the least hash of doc_id."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    """(lang, doc_id, text) of at most ``per_lang`` labelled rows of each language, those with the least hashes of doc_id, then of text."""
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "doc_id", F.col("text").cast("string").alias("text"))
     h = F.xxhash64(F.col("doc_id").cast("string"))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a number for each language
     # So many hashes of each language as surely hold the least ones are ranked, not all of its documents.
-    near = F.lit(False)
-    for lang, n in sizes.items():
-        share = min(1.0, (2 * per_lang + 100) / n)
-        near = near | ((F.col("lang") == lang) & (h <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))))
-    cut = known.filter(near).select("lang", h.alias("h")).withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= per_lang)
-    most = {r["lang"]: r["h"] for r in cut.groupBy("lang").agg(F.max("h").alias("h")).collect()}  # a number for each language
-    pick = F.lit(False)
-    for lang, top in most.items():
-        pick = pick | ((F.col("lang") == lang) & (h <= F.lit(top)))
-    return known.filter(pick).select("doc_id", "text", "lang")
+    share = F.least(F.lit(1.0), F.lit(2.0 * per_lang + 100) / F.count("*"))
+    near = known.groupBy("lang").agg((share * 2.0**64 - 2.0**63).alias("most"))
+    ranked = known.withColumn("h", h).join(near, "lang").filter(F.col("h").cast("double") <= F.col("most"))
+    ranked = ranked.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", F.xxhash64("text"), "text")))
+    return ranked.filter(F.col("k") <= per_lang).select("lang", "doc_id", "text")
 
 
 def fitted(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
-    rows = sorted(sample(docs, per_lang).collect(), key=lambda r: (r["lang"], r["doc_id"], r["text"]))
-    return train([r["text"] for r in rows], [r["lang"] for r in rows])
+    """The model of a bounded sample. What reaches the driver for a text is its buckets' shares, not the text: ``BUCKETS`` pairs at most."""
+    C.small_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in C.slices(texts, 1 << 19):
+                ids, share, off = _counts(texts[a:b])
+                lists = [pa.ListArray.from_arrays(off.astype(np.int32), pa.array(x)) for x in (ids, share)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *lists], ["lang", "ids", "share"])
+
+    found = sample(docs, per_lang).select("lang", "text").mapInArrow(run, "lang string, ids array<int>, share array<float>").collect()
+    rows = sorted((r["lang"], r["ids"], r["share"]) for r in found)
+    return train([(np.array(i, np.int32), np.array(s, np.float32)) for _, i, s in rows], [lang for lang, _, _ in rows])
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
@@ -248,9 +256,14 @@ def identify(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the language identifier rejects go; the others stay as they came."""
+    """Pipeline stage: documents that the language identifier rejects go; the others stay as they came.
+
+    Null and empty texts and those without letters are rejected; texts of any length are read whole; rows that repeat, or tie, are
+    judged alike; other columns may have any name. An empty table, or one without labels, teaches nothing: then only what has
+    letters stays.
+    """
     model = fitted(docs.filter(F.col("doc_id").isNotNull() & ~_held_out(F.col("doc_id"))))
-    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("key"), "text")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("key"), "text")
     return predicted(whole, model).filter("not rejected").select("key.*")
 
 

@@ -12,10 +12,12 @@ found are joined to components, and what shared buckets connect but links don't
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -56,10 +58,10 @@ def shingle_sets(texts: list[bytes], width: int = 2) -> list[np.ndarray]:
         if b - a >= width:
             out.append(np.unique(sh[a : b - width + 1]))
         elif b > a:
-            x = np.uint64(b - a)
+            x = np.full(1, b - a, np.uint64)
             for k in range(a, b):
-                x = C.mix((x * np.uint64(0xA0761D6478BD642F) + h[k : k + 1]).astype(np.uint64))
-            out.append(np.atleast_1d(x))
+                x = C.mix(x * np.uint64(0xA0761D6478BD642F) + h[k : k + 1])
+            out.append(x)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -131,7 +133,7 @@ def _sets(width: int):
 def node_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, items) of the given nodes: their full shingle sets, from the whole texts."""
     texts = docs.select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    return C.staged(texts.mapInArrow(_sets(width), "node long, items array<long>"), "sets")
+    return C.staged(texts.mapInArrow(_sets(width), f"node {docs.schema['doc_id'].dataType.simpleString()}, items array<long>"), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -145,31 +147,35 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _block(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        out: dict[str, list[int]] = {"a": [], "b": []}
-        table = table.combine_chunks()
-        asks = np.array(table["asks"].to_pylist(), bool)
+        table = table.combine_chunks().sort_by("n")
+        asks = table["asks"].combine_chunks().to_numpy(zero_copy_only=False)
+        a, b = [], []
         if asks.any() and not asks.all():
             items = table["items"].combine_chunks()
             off, values = items.offsets.to_numpy(), items.values.to_numpy()
             _, ids = np.unique(values[off[0] : off[-1]], return_inverse=True)
             off = off - off[0]
-            node, comp, size = table["node"].to_numpy(), table["component"].to_numpy(), np.diff(off)
+            comp, size = table["component"].combine_chunks().dictionary_encode().indices.to_numpy(), np.diff(off)
             mark = np.zeros(ids.max() + 1, np.int32)
             data = np.flatnonzero(~asks)
             flat = np.concatenate([ids[off[i] : off[i + 1]] for i in data])
-            at = np.zeros(len(data), np.int64)
-            np.cumsum(size[data][:-1], out=at[1:])
+            at = np.zeros(len(data) + 1, np.int64)
+            np.cumsum(size[data], out=at[1:])
             for q in np.flatnonzero(asks):
-                own = ids[off[q] : off[q + 1]]
+                # Rows come by size, and only sets of nearly the same size can overlap enough.
+                lo, hi = np.searchsorted(size[data], [-(-percent * size[q] // 100), 100 * size[q] // percent + 1])
+                if lo == hi:
+                    continue
+                own, some = ids[off[q] : off[q + 1]], data[lo:hi]
                 mark[own] = 1
-                same = np.add.reduceat(mark[flat], at)
+                same = np.add.reduceat(mark[flat[at[lo] : at[hi]]], at[lo:hi] - at[lo])
                 mark[own] = 0
-                hit = data[(comp[data] != comp[q]) & (100 * same >= percent * (size[q] + size[data] - same))]
+                hit = some[(comp[some] != comp[q]) & (100 * same >= percent * (size[q] + size[some] - same))]
                 _, one = np.unique(comp[hit], return_index=True)
-                for i in hit[one]:
-                    out["a"].append(int(node[q]))
-                    out["b"].append(int(node[i]))
-        return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
+                a += [q] * len(one)
+                b += hit[one].tolist()
+        node = table["node"]
+        return pa.table({"a": node.take(pa.array(a, pa.int64())), "b": node.take(pa.array(b, pa.int64()))})
 
     return run
 
@@ -178,38 +184,43 @@ def missed(cluster: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -
     """Links between the components of a cluster, which is what shared buckets connect.
 
     A link that the first comparisons missed has an end outside its cluster's largest component. These documents are the queries:
-    each is compared exactly with every member of the cluster, in blocks of bounded size, and one link is returned for each
-    component that it meets; no pair is emitted otherwise.
+    each is compared exactly with the members of the cluster whose sets are of nearly its size (others can't overlap enough), in
+    blocks of bounded size, and one link is returned for each component that it meets; no pair is emitted otherwise.
     """
     member = cluster.withColumnRenamed("component", "cluster").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     member = C.staged(member.join(sets, "node").select("cluster", "component", "node", "items", F.size("items").cast("long").alias("n")), "members")
     parts = member.groupBy("cluster", "component").agg(F.sum("n").alias("n"))
-    whole = parts.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("parts"))
+    whole = parts.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("cluster", "main")
+    # Classes of sizes: what overlaps enough differs by one class at most (the factor leaves room for rounding).
+    class_ = F.floor(F.log(F.col("n").cast("double")) / math.log(101 / percent)).cast("int")
+    member = member.join(whole, "cluster").withColumn("class", class_)
+    near = F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1))
     blocks = lambda c: F.ceil(c / BLOCK_ITEMS).cast("int")
-    whole = whole.filter("parts > 1").select("cluster", "main", blocks(F.col("all")).alias("nd"), F.greatest(F.lit(1), blocks(F.col("all") - F.col("most"))).alias("nq"))
-    member = member.join(whole, "cluster")
+    asked = member.filter("component <> main").select("cluster", near.alias("class"), "n").groupBy("cluster", "class").agg(blocks(F.sum("n")).alias("nq"))
+    there = member.groupBy("cluster", "class").agg(blocks(F.sum("n")).alias("nd")).join(asked, ["cluster", "class"])
     pick = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    keep = ["cluster", "component", "node", "items"]
-    data = member.select(*keep, F.lit(False).alias("asks"), pick("nd").alias("db"), every("nq").alias("qb"))
-    asks = member.filter("component <> main").select(*keep, F.lit(True).alias("asks"), pick("nq").alias("qb"), every("nd").alias("db"))
+    keep = ["cluster", "class", "component", "node", "items", "n"]
+    data = member.join(there, ["cluster", "class"]).select(*keep, F.lit(False).alias("asks"), pick("nd").alias("db"), every("nq").alias("qb"))
+    asks = member.filter("component <> main").withColumn("class", near).join(there, ["cluster", "class"]).select(*keep, F.lit(True).alias("asks"), pick("nq").alias("qb"), every("nd").alias("db"))
     # Dealt by block: else a join before this may leave all blocks of a cluster in one task.
-    met = data.unionByName(asks).repartition("cluster", "db", "qb").groupBy("cluster", "db", "qb").applyInArrow(_block(percent), "a long, b long")
-    return C.staged(met, "links")
+    met = data.unionByName(asks).repartition("cluster", "class", "db", "qb").groupBy("cluster", "class", "db", "qb")
+    kind = member.schema["node"].dataType.simpleString()
+    return C.staged(met.applyInArrow(_block(percent), f"a {kind}, b {kind}"), "links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Components of the documents whose shingle sets have a Jaccard similarity of ``percent``/100 or more.
 
-    Takes ``doc_id`` (integer) and ``text``; other columns are ignored. Returns doc_id, n_shingles, component_id, kept for
+    Takes ``doc_id`` (of any type that has an order) and ``text``; other columns are ignored, very long texts are read whole. Returns doc_id, n_shingles, component_id, kept for
     every input row. Null or blank texts have no shingles and are linked with nothing; rows that repeat a doc_id share its
     component; a row whose doc_id is null is kept with a null component. Empty input gives no rows. A pair of similarity 0.8
     misses all bands with a probability of 5e-6 (``bands`` 52, ``rows`` 7), a more similar one with less.
     """
     spark = docs.sparkSession
     C.small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sigs = C.staged(docs.mapInArrow(_signatures(width, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>"), "sketches")
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    sigs = C.staged(docs.mapInArrow(_signatures(width, bands, rows), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, digest binary, bands array<long>"), "sketches")
     usable = sigs.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     nodes = C.staged(usable.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
     reps = usable.join(nodes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_semi")
@@ -235,12 +246,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: i
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group stays (five-word shingles, similarity 0.8); columns as they came.
 
-    Of rows that repeat a doc_id one stays. Rows without doc_id or words all stay.
+    The least doc_id of a group stays. Of rows that repeat a doc_id one stays, that with the least hash of its text, then of all its
+    columns. Rows without doc_id all stay, those without words too. Very long texts are read whole, other columns may have any
+    name. An empty table gives an empty one.
     """
-    found = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.lit(True).alias("_kept"))
-    kept = found.filter("_kept_id is not null").distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    keyed = whole.select("row", F.col("row.doc_id").alias("id"), F.xxhash64(F.col("row.text").cast("string")).alias("text_key"), F.xxhash64("row").alias("row_key"))
+    kept = near_duplicates(docs.select("doc_id", "text")).filter("kept and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
+    named = keyed.join(kept, "id", "left_semi")
+    first = named.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("text_key", "row_key"))).filter("place = 1")
+    return first.select("row.*").unionByName(keyed.filter("id is null").select("row.*"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

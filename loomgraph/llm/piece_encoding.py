@@ -8,7 +8,8 @@ word before it are reused, and only the rest is computed.
 ``unigram`` vocabularies: a forward state is the best score of a prefix and its last piece (Viterbi). ``bpe`` vocabularies:
 their scores are merge ranks, so the best sum of scores is not the encoding. There the same pass runs over the pieces that
 may follow each other, ``a`` before ``b`` if merging their joint text gives just these two; the encoding of a prefix has a
-single last piece, which is its forward state. Results equal those of the public library for either kind.
+single last piece, which is its forward state together with the sum of scores up to it. Results equal those of the public library
+for either kind.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from . import common as C
 
 MARK = "▁"
 VOCABULARY = "piece_bpe_32k.model"
-_CACHE, _PAIRS = 1_000_000, 400_000
+_CACHE, _PAIRS = 48 << 20, 400_000  # characters of words that are kept, pairs that are kept
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -55,6 +56,7 @@ class Codec:
         self.pair: dict[tuple[str, str], bool] = {}
         self.own: dict[str, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.held = 0  # characters of the words
         self.value = {i: p.replace(MARK, " ").encode() for i, p in enumerate(pieces)}
         for b, i in enumerate(bytes_):
             self.value[i] = bytes([b])
@@ -108,12 +110,13 @@ class Codec:
                 start -= 1
             found = word[end - 1]
             if bpe:
+                top = best[end - 1] + score.get(found, self.worst)
                 for start in reversed(starts):
                     p = word[start:end]
                     if self._merges(p) and (start == 0 or self.follows(last[start], p)):
-                        found = p
+                        top, found = best[start] + score[p], p
                         break
-                best.append(0.0)
+                best.append(top)
             else:
                 top = best[end - 1] + self.score.get(found, self.worst)
                 for start in reversed(starts):
@@ -145,9 +148,11 @@ class Codec:
     def learn(self, words: set[str]) -> None:
         """Encode the words that aren't known yet, in sorted order."""
         new = sorted(words.difference(self.words))
-        if len(self.words) + len(new) > _CACHE:
+        self.held += sum(map(len, new))
+        if self.held > _CACHE:
             self.words.clear()
             new = sorted(words)
+            self.held = sum(map(len, new))
         last, best, before = [""], [0.0], ""
         for w in new:
             k, m = 0, min(len(w), len(before))
@@ -199,7 +204,9 @@ def codec(path: str) -> Codec:
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_chars, ids (list of integers), n_tokens, ids_crc32, round_trip: encoded, then decoded and compared.
 
-    One row per input row. Null text counts as empty and has no ids. ``path`` is the vocabulary file on the workers.
+    One row per input row. Null text counts as empty and has no ids. Very long texts are encoded whole; rows that repeat give
+    repeated results; doc_id may be of any type; other columns are ignored; an empty table gives no rows. ``path`` is the
+    vocabulary file on the workers.
     """
     spark = docs.sparkSession
     C.small_batches(spark, 500)
@@ -246,7 +253,7 @@ def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: each document's ids and counts instead of its text."""
+    """Last pipeline stage: each document's ids and counts instead of its text; nulls, long texts, ties and empty tables as in ``encoded``."""
     return encoded(docs)
 
 

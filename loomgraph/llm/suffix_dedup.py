@@ -13,7 +13,8 @@ all strings of the same hash, through the construction in blocks of bounded size
 large). A hash with more strings than a
 block may hold, or with a very long one (text that repeats itself), is settled by counting its windows. No group meets in one task.
 
-Two windows count as equal if 64-bit hashes of whole strings are, or the construction compares their bytes.
+Two windows count as equal if the construction has compared their bytes, or if two 64-bit hashes of their strings are equal, that
+of the whole string (or window) and the least one of its parts.
 """
 
 from __future__ import annotations
@@ -236,7 +237,7 @@ def _take(batches):
             k = len(wanted)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([doc] * k, pa.int64()),
+                    pa.array([doc] * k, batch.column(0).type),
                     pa.array([h] * k, pa.int64()),
                     pa.array([w["start"] for w in wanted], pa.int32()),
                     pa.array([w["least"] for w in wanted], pa.int64()),
@@ -268,24 +269,25 @@ def _taken(batches):
 _RANGE = ["doc_id", "h", "a", "b"]
 
 
-def _ranges(rows: list[tuple]) -> pa.RecordBatch:
+def _ranges(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) or [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], _RANGE)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (kind, pa.int64(), pa.int32(), pa.int32()), strict=True)], _RANGE)
 
 
 def _constructed(batches):
     """Rows sorted by least hash: whole groups are put into blocks, each goes through the construction."""
     block: list[tuple] = []
-    size, last = 0, None
+    size, last, kind = 0, None, pa.null()
 
     def settle():
         out = []
         for (doc, h, start, _, more, _s), mask in zip(block, repeated([r[5] for r in block]), strict=True):
             if not more:  # the others are covered as a whole
                 out += [(doc, h, start + a, start + b + LENGTH - 1) for a, b in runs(mask)]
-        return _ranges(out)
+        return _ranges(out, kind)
 
     for batch in batches:
+        kind = batch.column(0).type
         for r in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
             if size >= BLOCK_BYTES and r[3] != last:
                 yield settle()
@@ -305,7 +307,7 @@ def _windows(batches):
             w = C.range_hash(C.BYTE[raw], at, at + LENGTH).view(np.int64)
             k = len(at)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([doc] * k, pa.int64()), pa.array([h] * k, pa.int64()), pa.array([least] * k, pa.int64()), pa.array([more] * k, pa.bool_()), pa.array((at + start).astype(np.int32)), pa.array(w)],
+                [pa.array([doc] * k, batch.column(0).type), pa.array([h] * k, pa.int64()), pa.array([least] * k, pa.int64()), pa.array([more] * k, pa.bool_()), pa.array((at + start).astype(np.int32)), pa.array(w)],
                 ["doc_id", "h", "least", "more", "a", "w"],
             )
 
@@ -328,13 +330,13 @@ def _digest(batches):
             kept.update(raw[at:])
             out.append((doc, len(raw), removed, spans, kept.hexdigest()))
         cols = list(zip(*out, strict=True)) or [()] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        kinds = (batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text"))
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
@@ -342,7 +344,8 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     C.small_batches(spark, 500)
     docs = _keyed(docs)
-    lists = C.staged(docs.mapInArrow(_scan, "doc_id long, h long, start array<int>, n array<int>, least array<long>, whole array<long>, inner array<boolean>").filter("size(n) > 0"), "strings")
+    key = docs.schema["doc_id"].dataType.simpleString()
+    lists = C.staged(docs.mapInArrow(_scan, f"doc_id {key}, h long, start array<int>, n array<int>, least array<long>, whole array<long>, inner array<boolean>").filter("size(n) > 0"), "strings")
     each = lists.select("doc_id", "h", F.explode(F.arrays_zip("start", "n", "least", "whole", "inner")).alias("x")).select("doc_id", "h", "x.*")
     shared = each.groupBy("least").agg(F.count("*").alias("c"), F.min("whole").alias("lo"), F.max("whole").alias("hi"), F.bool_or("inner").alias("inner"))
     shared = shared.filter("c > 1 or inner").select("least", ((F.col("c") == 1) | (F.col("lo") < F.col("hi"))).alias("mixed"))
@@ -356,14 +359,14 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     wanted = kinds.select("r.doc_id", "r.h", F.struct("r.start", "r.n", "least", (F.col("c") > 1).alias("more")).alias("w")).groupBy("doc_id", "h").agg(F.collect_list("w").alias("w"))
     d, w = docs.alias("d"), wanted.alias("w")
     taken = d.join(w, (F.col("d.h") == F.col("w.h")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("d.doc_id", "d.h", "d.text", "w.w")
-    strings = C.staged(taken.mapInArrow(_taken, "doc_id long, h long, start int, least long, more boolean, s binary").dropDuplicates(["doc_id", "h", "start", "least"]), "strings")
+    strings = C.staged(taken.mapInArrow(_taken, f"doc_id {key}, h long, start int, least long, more boolean, s binary").dropDuplicates(["doc_id", "h", "start", "least"]), "strings")
     weight = strings.groupBy("least").agg(F.sum(F.length("s")).alias("bytes"), (F.max(F.length("s")) > LONG_BYTES).alias("long"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cool = strings.join(weight.filter((F.col("bytes") <= HOT_BYTES) & ~F.col("long")).select("least"), "least", "left_semi")
     hot = strings.join(weight.filter((F.col("bytes") > HOT_BYTES) | F.col("long")).select("least"), "least", "left_semi")
     columns = ["doc_id", "h", "start", "least", "more", "s"]
-    built = cool.select(*columns).repartition(parts, "least").sortWithinPartitions("least").mapInArrow(_constructed, "doc_id long, h long, a int, b int")
-    windows = hot.select(*columns).mapInArrow(_windows, "doc_id long, h long, least long, more boolean, a int, w long")
+    built = cool.select(*columns).repartition(parts, "least").sortWithinPartitions("least").mapInArrow(_constructed, f"doc_id {key}, h long, a int, b int")
+    windows = hot.select(*columns).mapInArrow(_windows, f"doc_id {key}, h long, least long, more boolean, a int, w long")
     often = windows.groupBy("least", "w").agg(F.count("*").alias("c")).filter("c > 1").select("least", "w")
     counted = windows.filter("not more").join(often, ["least", "w"]).select("doc_id", "h", "a", (F.col("a") + LENGTH).alias("b"))
     return C.staged(equal.unionByName(twice).unionByName(built).unionByName(counted), "ranges")
@@ -373,14 +376,15 @@ def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every input row.
 
     Null text counts as empty. Strings are judged on the input; matches within one document count, none crosses documents.
-    Repeated rows repeat each other's strings, so all their bytes in strings of 400 go. Null doc_ids are texts like others.
+    Repeated rows repeat each other's strings, so all their bytes in strings of 400 go. doc_id may be of any type; null ones are
+    texts like others. Very long texts are read whole, other columns are ignored.
     Empty input gives no rows.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     ranges = repeated_ranges(docs).groupBy("doc_id", "h").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
     d, r = _keyed(docs).alias("d"), ranges.alias("r")
     both = d.join(r, (F.col("d.h") == F.col("r.h")) & F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")), "left").select("d.doc_id", "d.text", "r.ranges")
-    return both.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return both.mapInArrow(_digest, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,6 @@ special token go through the tokenizer whole. New words are encoded many at a ti
 from __future__ import annotations
 
 import itertools
-import math
 import uuid
 import zlib
 
@@ -159,12 +158,7 @@ def _dealt(rows: DataFrame, parts: int) -> DataFrame:
     bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", shares, 100 * parts)).first()[0] or [])) if shares else []
     if not bounds:
         return rows.coalesce(1) if parts == 1 else rows.repartitionByRange(parts, "doc_id")
-    # The number of bounds below an id, by the tops of blocks first: twice the root of their number of comparisons.
-    step, kind = math.isqrt(len(bounds)) + 1, rows.schema["doc_id"].dataType
-    lit = lambda some: F.array(*[F.lit(int(b)).cast(kind) for b in some])
-    lower = lambda some: F.size(F.filter(some, lambda b: b < F.col("doc_id")))
-    block = lower(lit(bounds[step - 1 :: step])) * step
-    below = block + lower(F.slice(lit(bounds), block + 1, F.lit(step)))
+    below = C.bounds_below(F.col("doc_id"), [int(b) for b in bounds], rows.schema["doc_id"].dataType)
     return rows.repartitionById(len(bounds) + 1, F.when(F.col("doc_id").isNull(), 0).otherwise(below).cast("int"))
 
 
@@ -256,5 +250,6 @@ def digests(spark: SparkSession, path: str, kind: DataType | None = None) -> Dat
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f"{C.shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_tokens(C.table(spark, sf_dir, "documents"), out)
-    return digests(spark, out)
+    docs = C.table(spark, sf_dir, "documents")
+    write_tokens(docs, out)
+    return digests(spark, out, docs.schema["doc_id"].dataType)
