@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from . import common as C
 
@@ -188,13 +189,12 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: in
 def sample(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """(lang, doc_id, text) of at most ``per_lang`` labelled rows of each language, those with the least hashes of doc_id, then of text."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "doc_id", F.col("text").cast("string").alias("text"))
-    h = F.xxhash64(F.col("doc_id").cast("string"))
-    # So many hashes of each language as surely hold the least ones are ranked, not all of its documents.
-    share = F.least(F.lit(1.0), F.lit(2.0 * per_lang + 100) / F.count("*"))
-    near = known.groupBy("lang").agg((share * 2.0**64 - 2.0**63).alias("most"))
-    ranked = known.withColumn("h", h).join(near, "lang").filter(F.col("h").cast("double") <= F.col("most"))
-    ranked = ranked.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", F.xxhash64("text"), "text")))
-    return ranked.filter(F.col("k") <= per_lang).select("lang", "doc_id", "text")
+    keyed = known.withColumn("at", F.struct(F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.xxhash64("text").alias("t")))
+    place = F.row_number().over(W.partitionBy("lang").orderBy("at"))
+    # The last place of each language is found without the texts: each task keeps its own first ones only.
+    last = keyed.select("lang", "at").withColumn("k", place).filter(F.col("k") <= per_lang).groupBy("lang").agg(F.max("at").alias("last"))
+    near = keyed.join(last, "lang").filter(F.col("at") <= F.col("last"))
+    return near.withColumn("k", place).filter(F.col("k") <= per_lang).select("lang", "doc_id", "text")
 
 
 def fitted(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
@@ -235,8 +235,8 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
                 ["key", "lang_pred", "score", "rejected"],
             )
 
-    key = docs.schema["key"].dataType.simpleString()
-    return docs.select("key", F.col("text").cast("string").alias("text")).mapInArrow(run, f"key {key}, lang_pred string, score double, rejected boolean")
+    out = StructType([StructField("key", docs.schema["key"].dataType), StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
+    return docs.select("key", F.col("text").cast("string").alias("text")).mapInArrow(run, out)
 
 
 def _held_out(doc_id):

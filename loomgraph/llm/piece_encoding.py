@@ -14,6 +14,7 @@ for either kind.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 
@@ -68,12 +69,16 @@ class Codec:
     def load(cls, path: str) -> Codec:
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        return cls.of(sentencepiece.SentencePieceProcessor(model_file=path))
+
+    @classmethod
+    def of(cls, sp, kind: str | None = None) -> Codec:
+        """The vocabulary of the library's processor; without a kind whole scores, which are merge ranks, mean ``bpe``."""
         n = sp.vocab_size()
         scores = [sp.get_score(i) for i in range(n)]
         bytes_ = [i for i in range(n) if sp.is_byte(i)]
         whole = all(float(s).is_integer() for s in scores)
-        return cls([sp.id_to_piece(i) for i in range(n)], scores, sp.unk_id(), bytes_, "bpe" if whole else "unigram")
+        return cls([sp.id_to_piece(i) for i in range(n)], scores, sp.unk_id(), bytes_, kind or ("bpe" if whole else "unigram"))
 
     def merged(self, s: str) -> list[str]:
         """Merge neighbours by the best score, leftmost first: the definition of the bpe kind."""
@@ -118,11 +123,14 @@ class Codec:
                         break
                 best.append(top)
             else:
-                top = best[end - 1] + self.score.get(found, self.worst)
+                top = -math.inf  # of equally good ends the longest piece counts, as in the library
                 for start in reversed(starts):
                     p = word[start:end]
                     if best[start] + score[p] > top:
                         top, found = best[start] + score[p], p
+                one = best[end - 1] + score.get(word[end - 1], self.worst)
+                if one > top:
+                    top, found = one, word[end - 1]
                 best.append(top)
             last.append(found)
 

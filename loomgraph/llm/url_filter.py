@@ -2,8 +2,8 @@
 
 Features: lengths of url, host and path, depth, labels, digit ratio, hyphens, character entropy, parameter counts, and statistics
 of suffixes: how often urls under the same host suffix or with the same host words are unwanted among the labelled ones. The
-trees are grown here, in numpy, on labelled urls: ``seed_urls`` or a table of one's own, of which at most ``MOST_LABELLED``
-rows are used. Labels never come from the rules.
+trees are grown here, in numpy, on labelled urls: a table of one's own, of which at most ``MOST_LABELLED`` rows are used, or made
+ones (``seed_urls``) where there is none. Labels never come from the rules.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
-MOST_LABELLED, TREES, DEPTH, RATE = 20_000, 60, 3, 0.2
+MOST_LABELLED, LONGEST, TREES, DEPTH, RATE = 20_000, 4000, 80, 4, 0.2
 FEATURES = ("length", "host_length", "path_length", "labels", "depth", "digit_ratio", "host_digits", "hyphens", "entropy", "host_entropy", "params", "query_length", "suffix_rate", "word_rate", "scheme")
 
 
@@ -67,7 +67,7 @@ def suffixes(host_: str) -> list[str]:
 
 
 def host_words(host_: str) -> list[str]:
-    return [w for w in re.split(r"[^a-z]+", host_.rpartition(".")[0]) if len(w) > 1 and w not in ("www", "example")]
+    return [w for w in re.split(r"[^a-z]+", host_.rpartition(".")[0]) if len(w) > 1 and w != "www"]
 
 
 class Statistics:
@@ -167,34 +167,57 @@ class Trees:
         return 1 / (1 + np.exp(-(self.base + sum(self._one(t, x) for t in self.trees)))) if len(x) else np.zeros(0)
 
 
-_GOOD = "news blog docs wiki library museum school city garden kitchen travel science history music weather journal forum recipes sports books archive research health atlas review market street bridge river"
-_BAD = "casino win bets bet free cheap pills pill spam farm adult xxx porn ads track tracker poker slots lottery bonus loan payday viagra crypto hack crack warez torrent click popup escort dating replica seo"
+# Words of made urls: ordinary sites, and kinds of sites that filters for training data leave out.
+_GOOD = "news blog docs wiki library museum school city garden kitchen travel science history music weather journal forum recipes sports books archive research health atlas review market street bridge river advice".split()
+_BAD = "casino win bets bet free cheap pills pill spam farm adult xxx porn ads track tracker poker slots lottery bonus loan payday viagra crypto hack crack warez torrent click popup escort dating replica seo".split()
+_SYLLABLES = "th er in on an re ti es or ha st en ou nd le ma ke ro sa la".split()
 
 
-def seed_urls(n: int = 1200, seed: int = 11) -> tuple[list[str], list[int]]:
-    """Labelled urls made from word lists: ordinary sites (0) and unwanted ones (1)."""
+def seed_urls(n: int = 2400, seed: int = 11) -> tuple[list[str], list[int]]:
+    """Labelled urls, made up where no labelled table is at hand: ordinary (0) and unwanted (1).
+
+    Unwanted are hosts of certain words and, apart from words, hosts of digits and hyphens with long queries. Ordinary ones are
+    words and syllables, public suffixes (gov, edu, ac) whatever the words, and what is no absolute url.
+    """
     rng = random.Random(seed)
-    good, bad = _GOOD.split(), _BAD.split()
-    syllables = "th er in on an re ti es or ha st en ou nd le ma ke ro sa la".split()
-    word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 4)))
+    word = lambda: "".join(rng.choices(_SYLLABLES, k=rng.randint(1, 4)))
+    code = lambda k: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=k))
+    query = lambda k: "?" + "&".join(f"{rng.choice([word(), code(2)])}={rng.choice([str(rng.randint(1, 10**9)), code(12)])}" for _ in range(k))
     urls, labels = [], []
     for i in range(n):
         y = i % 2
-        top = rng.choice(["com", "org", "net"])
-        if y:
-            name = "-".join(rng.sample(bad, rng.randint(1, 2)) + ([rng.choice("x1z9")] if rng.random() < 0.25 else []))
+        scheme, sub = rng.choice(["http", "https"]), rng.choice(["", "", "www.", "m.", "blog."])
+        tail = rng.choice(["", "/", f"/{word()}", f"/{word()}/{rng.randint(1, 99999)}", f"/{word()}/{word()}/{word()}", f"/{word()}.html"])
+        q = rng.choice(["", "", "", query(1), query(2), "#" + word()])
+        top = rng.choice(["com", "org", "net", "info", "co.uk", "de", "fr"])
+        kind = rng.random()
+        if y and kind < 0.6:
+            name = "-".join([*rng.sample(_BAD, rng.randint(1, 2)), *([code(2)] if rng.random() < 0.2 else [])])
+            q = query(rng.randint(3, 7)) if rng.random() < 0.3 else q
+        elif y:
+            name = "-".join([code(rng.randint(4, 9)), str(rng.randint(100, 99999))][: rng.randint(1, 2)]) + str(rng.randint(10, 9999))
+            top, q = rng.choice([top, "biz", "top", "xyz"]), query(rng.randint(3, 8)) if rng.random() < 0.8 else q
+        elif kind < 0.15:
+            name, top = f"{rng.choice(_GOOD + _BAD)}-{rng.choice(_GOOD)}", rng.choice(["gov", "gov.uk", "edu", "ac.uk"])
+        elif kind < 0.2:
+            urls.append(rng.choice(["", f"/{word()}/{word()}", f"mailto:{word()}", f"{word()} {word()}"]))
+            labels.append(0)
+            continue
         else:
-            name = rng.choice([word(), word(), rng.choice(good), f"{rng.choice(good)}-{word()}", word() + rng.choice(good)])
-        h = rng.choice(["", "", "www.", "m.", "blog."]) + name + rng.choice([".example", ".example", ""]) + "." + top
-        tail = rng.choice(["", f"/{rng.choice(['en', 'fr', 'de', 'es'])}/{rng.randint(1, 99999)}", f"/{word()}/{word()}", f"/{word()}.html"])
-        q = rng.choice(["", "", "?page=2&ref=x", "?utm_source=feed", "?id=" + str(rng.randint(1, 10**6)), "#top"])
-        if y and rng.random() < 0.2:
-            q = "?" + "&".join(f"{word()}={rng.randint(1, 10**9)}" for _ in range(rng.randint(3, 7)))
-        urls.append(f"{rng.choice(['http', 'https'])}://{h}{tail}{q}")
+            name = rng.choice([word(), word(), rng.choice(_GOOD), f"{rng.choice(_GOOD)}-{word()}", f"{word()}-{word()}", word() + rng.choice(_GOOD), word() + str(rng.randint(1, 9))])
+        name += "." + rng.choice([word(), rng.choice(_GOOD)]) if rng.random() < 0.3 else ""
+        urls.append(f"{scheme}://{sub}{name}.{top}{tail}{q}")
         labels.append(y)
     return urls, labels
 
 
+def sample(labelled: DataFrame, most: int = MOST_LABELLED) -> tuple[list[str], list[int]]:
+    """At most ``most`` rows (url, label) of a table, those with the least hashes of the url; urls over ``LONGEST`` characters and nulls teach nothing."""
+    known = labelled.select(F.col("url").cast("string").alias("url"), F.col("label").cast("int").alias("label")).filter(F.col("url").isNotNull() & F.col("label").isin(0, 1) & (F.length("url") <= LONGEST))
+    rows = known.orderBy(F.xxhash64("url"), "url", "label").limit(most).collect()
+    return [r["url"] for r in rows], [r["label"] for r in rows]
+
+
 def fitted(urls: list[str], labels: list[int]) -> tuple[Statistics, Trees]:
     urls, labels = urls[:MOST_LABELLED], labels[:MOST_LABELLED]
     if not urls:
@@ -206,23 +229,23 @@ def fitted(urls: list[str], labels: list[int]) -> tuple[Statistics, Trees]:
     return Statistics(urls, labels), Trees().fit(x, np.array(labels, float))
 
 
-def judge(pages: DataFrame, rules=RULES, labelled: tuple[list[str], list[int]] | None = None, least: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | tuple[list[str], list[int]] | None = None, least: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict, score of every row: the longest rule decides, else the trees (block from ``least``).
 
-    A null url or one without ``://`` has an empty host and path; no rule fits it and it is allowed with score 0.
-    Repeated rows are judged alike. Empty input gives no rows.
+    ``labelled``: a table of urls with labels 0 and 1, or lists of them; else ``seed_urls``. A null url or one without ``://`` has an
+    empty host and path, so that no rule fits it; the trees judge it by what it is. Urls of any length are read whole. Repeated rows
+    are judged alike; page_id may be of any type; other columns are ignored. Empty input gives no rows.
     """
     spark = pages.sparkSession
     C.small_batches(spark, 10_000)
-    sent = spark.sparkContext.broadcast(fitted(*(labelled or seed_urls())))
+    given = sample(labelled) if isinstance(labelled, DataFrame) else labelled or seed_urls()
+    sent = spark.sparkContext.broadcast(fitted(*given))
 
     def run(batches):
         stats, trees = sent.value
         for batch in batches:
-            urls = batch.column(1).to_pylist()
-            x = np.array([features(u, stats) for u in urls], float).reshape(len(urls), len(FEATURES))
-            s = np.where([parts(u)[1] != "" for u in urls], trees.score(x), 0.0) if urls else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], ["page_id", "url", "score"])
+            x = np.array([features(u, stats) for u in batch.column(1).to_pylist()], float).reshape(batch.num_rows, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(trees.score(x), pa.float64())], ["page_id", "url", "score"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
     scored = pages.select("page_id", F.col("url").cast("string").alias("url")).mapInArrow(run, f"page_id {kind}, url string, score double")

@@ -72,3 +72,42 @@ def test_stages(spark, rows, data, k):
     if n:
         assert got.count() == n
     assert stage(spark, rows.limit(0), data).count() == 0
+
+
+NAMES = ["_id", "_key", "_kept_id", "_spans", "_h", "row", "row_id", "id", "spans", "hits", "text_key", "place", "own", "a.b"]
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_stages_with_clashing_names_and_ids_of_text(spark, data, k):
+    docs = spark.createDataFrame([(f"d{r[0]}", r[1], r[2], *range(len(NAMES))) for r in ROWS[:4]], "doc_id string, text string, lang string, " + ", ".join(f"`{n}` int" for n in NAMES))
+    got = corpus_pipeline.STAGES[k][1](spark, docs, data)
+    assert got.columns == docs.columns and 0 < got.count() <= 4
+
+
+def test_operators_with_ids_of_text(spark, tmp_path):
+    docs = spark.createDataFrame([(f"d{i % 7}", t) for i, t in enumerate(["One two three, mail a@b.org.", None, "", "x y " * 300, "x y " * 300] * 3)], "doc_id string, text string")
+    for name, op in OPERATORS.items():
+        if name != "language_id":
+            assert sorted(r["doc_id"] for r in op(docs).collect()) == sorted(r["doc_id"] for r in docs.collect()), name
+    token_files.write_tokens(docs, f"file://{tmp_path}/s")
+    assert token_files.digests(spark, f"file://{tmp_path}/s", docs.schema["doc_id"].dataType).count() == 15
+    assert token_files.find(spark, f"file://{tmp_path}/s", ["d3"]).count() == 2
+
+
+def test_many_matches_in_one_text(spark):
+    n = 20_000
+    docs = spark.createDataFrame([(1, "mail a1@b.org, card 4111 1111 1111 1111 or 123-45-6789; " * n)], "doc_id long, text string")
+    got = pii.digest(pii.personal_spans(docs)).first()
+    assert (got["n_email"], got["n_card"]) == (n, n)
+    assert pii.stage(spark, docs, "").first()["text"].count("[EMAIL]") == n
+
+
+def test_one_repeated_labelled_row_does_not_fill_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 3}", "en") for i in range(900)] + [(2, "un texte", "fr")], "doc_id long, text string, lang string")
+    assert {r["lang"]: r["count"] for r in language_id.sample(docs, 50).groupBy("lang").count().collect()} == {"en": 50, "fr": 1}
+
+
+def test_the_first_text_of_a_repeated_id_stays(spark):
+    docs = spark.createDataFrame([(1, f"text number {i} of many that are all different in words {i * 7}") for i in range(20)], "doc_id long, text string")
+    kept = {near_dedup.stage(spark, docs.repartition(k, "text"), "").first()["text"] for k in (1, 3)}
+    assert len(kept) == 1
