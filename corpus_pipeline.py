@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, near-dedup, decontamination, PII, piece encoding, in this order.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet into the shared folder and read again
-as the next one's docs; all but the last return the columns of documents.
+as the next one's docs; all but the last return the columns of documents. What a stage has staged for itself is deleted once
+its result is written, and that result once the next stage's is.
 """
 
 from __future__ import annotations
@@ -23,7 +24,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = common.staged(stage(spark, docs, sf_dir), name)
-    return common.staged(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])
+    docs, before = common.table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        with common.scratch(spark) as written:
+            docs = common.staged(stage(spark, docs, sf_dir), name)
+            written.pop()
+        if before is not None:
+            common.drop_staged(before)
+        before = docs
+    return docs
