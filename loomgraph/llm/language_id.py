@@ -193,7 +193,8 @@ def sample(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     place = F.row_number().over(W.partitionBy("lang").orderBy("at"))
     # The last place of each language is found without the texts: each task keeps its own first ones only.
     last = keyed.select("lang", "at").withColumn("k", place).filter(F.col("k") <= per_lang).groupBy("lang").agg(F.max("at").alias("last"))
-    near = keyed.join(last, "lang").filter(F.col("at") <= F.col("last"))
+    # A row for each language, of which the model holds a column of BUCKETS numbers anyway.
+    near = keyed.join(F.broadcast(last), "lang").filter(F.col("at") <= F.col("last"))
     return near.withColumn("k", place).filter(F.col("k") <= per_lang).select("lang", "doc_id", "text")
 
 
