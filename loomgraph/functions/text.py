@@ -141,6 +141,7 @@ def overlap(a: Column, b: Column) -> Column:
 
 # --- urls ---
 
+# Patterns and reasons of skipped and doubtful urls.
 _ARXIV = r"(?i)arxiv\.org/(?:abs|html|pdf|src)/(\d{4}\.\d{4,5}(?:v\d+)?)"
 
 
