@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,40 +32,67 @@ def judged(urls: DataFrame) -> DataFrame:
     return urls.withColumn("status", F.when(skip.isNotNull(), "skipped").when(doubt.isNotNull(), "hallucinated").otherwise("fetch")).withColumn("reason", F.coalesce(skip, doubt))
 
 
-def fetch_status(code: int | None, redirect: str | None = None, url: str = "", failure: str | None = None) -> str:
-    """Status of one reply; a redirect that only sets a cookie (back to the same address) is fine."""
-    if failure:
-        return "timeout" if "timed out" in failure.lower() or "timeout" in failure.lower() else "error"
-    if code in (404, 410):
-        return "not_found"
-    if code in (401, 403):
-        return "access_denied"
-    if redirect and redirect.split("?")[0].rstrip("/") != url.split("?")[0].rstrip("/"):
-        return "redirect"
-    return "ok" if code is not None and code < 400 else "error"
-
-
-def checked(urls: DataFrame, fetcher: Callable[[str], dict]) -> DataFrame:
-    """Looks up each distinct url once: ``fetcher`` returns code, redirect and failure of a HEAD (then a ranged GET on 405)."""
+def reply_status(url: Column, head: Column, ranged: Column) -> Column:
+    """Status of a HEAD reply and, where that was 405, of the ranged GET: structs of code, redirect (the final address) and failure.
+
+    404 and 410 are not found, 403 is denied access (often a paywall), other codes from 400 on are errors. Another final address is a
+    redirect, but for the one that a cookie check gives: same host and path, with a parameter ``error`` or ``cookies_not_supported``.
+    """
+    bare = lambda c: F.rtrim(c, F.lit("/"))
+    host = lambda c: F.regexp_extract(c, r"^[^:/?#]+://([^/?#]*)", 1)
+    path = lambda c: F.regexp_extract(c, r"^[^:/?#]+://[^/?#]*([^?#;]*)", 1)
+    query = lambda c: F.regexp_extract(c, r"^[^?#]*\?([^#]*)", 1)
+    moved = lambda r: r["redirect"].isNotNull() & (bare(r["redirect"]) != bare(url))
+    final = head["redirect"]
+    cookie = (host(final) == host(url)) & (path(final) == path(url)) & (query(final).rlike(r"(?:^|&)error=[^&]") | F.contains(query(final), F.lit("cookies_not_supported")))
+    late = F.lower(head["failure"]).rlike("timed out|timeout")
+    second = (
+        F.when(ranged.isNull() | ranged["failure"].isNotNull(), "error")
+        .when(ranged["code"] == 404, "not_found")
+        .when(ranged["code"].isNull() | (ranged["code"] >= 400), "error")
+        .when(moved(ranged), "redirect")
+        .otherwise("ok")
+    )
+    return (
+        F.when(head["failure"].isNotNull(), F.when(late, "timeout").otherwise("error"))
+        .when(head["code"] == 405, second)
+        .when(head["code"].isin(404, 410), "not_found")
+        .when(head["code"] == 403, "access_denied")
+        .when(head["code"].isNull() | (head["code"] >= 400), "error")
+        .when(moved(head) & ~F.coalesce(cookie, F.lit(False)), "redirect")
+        .otherwise("ok")
+    )
+
+
+_REPLY = "struct<code:int,redirect:string,failure:string>"
+
+
+def checked(urls: DataFrame, fetcher: Callable[[str], dict], ranged: Callable[[str], dict] | None = None) -> DataFrame:
+    """Looks up each distinct url once: ``fetcher`` gives code, redirect and failure of a HEAD, ``ranged`` of a GET, asked on 405."""
     ship(urls.sparkSession)
     rows = judged(urls)
 
+    def ask(f, u: str) -> dict:
+        try:
+            r = f(u)
+        except Exception as e:  # noqa: BLE001  a fetcher may fail in any way; its url is then an error
+            r = {"failure": str(e)}
+        return {k: r.get(k) for k in ("code", "redirect", "failure")}
+
     def run(batches):
         import pyarrow as pa
 
+        kind = pa.struct([("code", pa.int32()), ("redirect", pa.string()), ("failure", pa.string())])
         for b in batches:
-            out = []
-            for u in b.column(0).to_pylist():
-                try:
-                    r = fetcher(u)
-                except Exception as e:  # noqa: BLE001  a fetcher may fail in any way; its url is then an error
-                    r = {"failure": str(e)}
-                out.append((u, fetch_status(r.get("code"), r.get("redirect"), u, r.get("failure")), r.get("code"), r.get("redirect"), r.get("failure")))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)], ["url", "found", "code", "redirect_to", "error_msg"])
-
-    once = rows.filter("status = 'fetch'").select("url").distinct().mapInArrow(run, "url string, found string, code int, redirect_to string, error_msg string")
-    return rows.join(once, "url", "left").withColumn("status", F.coalesce("found", "status")).drop("found")
+            asked = b.column(0).to_pylist()
+            heads = [ask(fetcher, u) for u in asked]
+            again = [ask(ranged, u) if ranged and h["code"] == 405 else None for u, h in zip(asked, heads, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(heads, kind), pa.array(again, kind)], ["url", "head", "ranged"])
+
+    once = rows.filter("status = 'fetch'").select("url").distinct().mapInArrow(run, f"url string, head {_REPLY}, ranged {_REPLY}")
+    last = F.coalesce("ranged", "head")
+    found = once.select("url", reply_status(F.col("url"), F.col("head"), F.col("ranged")).alias("found"), last["code"].alias("code"), last["redirect"].alias("redirect_to"), last["failure"].alias("error_msg"))
+    return rows.join(found, "url", "left").withColumn("status", F.coalesce("found", "status")).drop("found")
 
 
 def rollup(rows: DataFrame, *by: str) -> DataFrame:

@@ -123,18 +123,19 @@ def directed(relations: DataFrame) -> DataFrame:
     return relations.select("id", F.lower(F.trim("source_entity")).alias("src"), T.causal_relation(F.col("relation")).alias("relation"), F.lower(F.trim("target_entity")).alias("dst"), F.col("source_file").alias("source"))
 
 
-def fuzzy_node(edges: DataFrame, query: str) -> str | None:
-    """Exact name, else the best connected that contains or is contained in it, else two shared words; ties by name."""
+def fuzzy_matches(edges: DataFrame, query: str) -> DataFrame:
+    """(node, tier, shared, n): names that match, best first by tier (exact, containing the query, two shared words), then words, edges, name."""
     low = query.lower().strip()
     ends = edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")).groupBy("node").agg(F.count("*").alias("n"))
     words = F.array(*[F.lit(w) for w in low.split()]) if low.split() else F.array().cast("array<string>")
-    tier = (
-        F.when(F.col("node") == low, 0)
-        .when(F.contains("node", F.lit(low)) | F.contains(F.lit(low), "node"), 1)
-        .when(F.size(F.array_intersect(words, F.split("node", r"\s+"))) >= 2, 2)
-    )
     same = F.size(F.array_intersect(words, F.split("node", r"\s+")))
-    hit = ends.withColumn("tier", tier).filter("tier is not null").orderBy("tier", F.when(F.col("tier") == 2, -same).otherwise(0), F.col("n").desc(), "node").limit(1).collect()
+    tier = F.when(F.col("node") == low, 0).when(F.contains("node", F.lit(low)), 1).when(same >= 2, 2)
+    return ends.select("node", tier.alias("tier"), F.when(tier == 2, same).otherwise(0).alias("shared"), "n").filter("tier is not null")
+
+
+def fuzzy_node(edges: DataFrame, query: str) -> str | None:
+    """Exact name, else the best connected that contains it, else the one with most shared words, two at least; ties by name."""
+    hit = fuzzy_matches(edges, query).orderBy("tier", F.col("shared").desc(), F.col("n").desc(), "node").limit(1).collect()
     return hit[0]["node"] if hit else None
 
 
@@ -279,22 +280,46 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     return label if label is not None else work.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def distances(edges: DataFrame, sources: DataFrame, max_depth: int = 64) -> DataFrame:
+def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, node, distance) of all nodes that the sources reach."""
     edges = staged(edges.select("src", "dst"), "edges")
     seen = staged(sources.select(F.col("node").alias("source"), "node").distinct().withColumn("distance", F.lit(0)), "seen")
     front = seen.select("source", "node")
-    for d in range(1, max_depth + 1):
+    d = 0
+    while not front.isEmpty():
+        d += 1
         step = front.join(edges, front["node"] == edges["src"]).select("source", F.col("dst").alias("node")).distinct()
         front = staged(step.join(seen, ["source", "node"], "left_anti"), "front")
-        if front.isEmpty():
-            break
         seen = seen.union(front.withColumn("distance", F.lit(d)))
     return seen
 
 
+def pairs_by_distance(edges: DataFrame, sources: DataFrame) -> list[tuple[int, int]]:
+    """(distance, pairs of a source and a node that far apart), from 1 on.
+
+    Searches from all sources at once: a node carries one bit for each source that has reached it, 63 to a word, so a level costs a
+    row for each edge and word, not for each edge and source.
+    """
+    edges = staged(edges.select("src", "dst"), "edges")
+    numbered = staged(sources.select("node").distinct().withColumn("i", F.row_number().over(W.orderBy("node")) - 1), "sources")  # a bounded number of sources
+    bit = F.expr("shiftleft(1L, cast(i % 63 as int))")
+    front = staged(numbered.groupBy("node", F.floor(F.col("i") / 63).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")), "front")
+    seen, out, d = front, [], 0
+    while True:
+        d += 1
+        step = front.join(edges, front["node"] == edges["src"]).groupBy(F.col("dst").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
+        old = seen.select("node", "word", F.col("bits").alias("old"))
+        new = step.join(old, ["node", "word"], "left").select("node", "word", F.expr("bits & ~coalesce(old, 0L)").alias("bits")).filter("bits <> 0")
+        front = staged(new, "front")
+        n = front.agg(F.sum(F.bit_count("bits"))).first()[0]
+        if not n:
+            return out
+        out.append((d, n))
+        seen = staged(seen.unionAll(front).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")), "seen")
+
+
 def path_statistics(edges: DataFrame, sample: int = 500, whole_up_to: int = 5000) -> DataFrame:
-    """One row: mean and largest distance in the largest component, from all its nodes or a fixed sample of sources."""
+    """One row: mean and largest distance in the largest component, from all its nodes, or from a fixed sample of them if it is large."""
     comp = components(edges)
     big = comp.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "component").limit(1)
     nodes = comp.join(F.broadcast(big), "component").select("node", "n")  # one row
@@ -302,7 +327,11 @@ def path_statistics(edges: DataFrame, sample: int = 500, whole_up_to: int = 5000
     starts = nodes.select("node")
     if first is not None and first["n"] > whole_up_to:
         starts = starts.orderBy(F.xxhash64("node"), "node").limit(sample)
-    return distances(edges, starts).filter("distance > 0").agg(F.avg("distance").alias("mean_distance"), F.max("distance").alias("diameter"), F.count("*").alias("pairs"))
+    found = pairs_by_distance(edges, starts)
+    pairs = sum(n for _, n in found)
+    mean = sum(d * n for d, n in found) / pairs if pairs else None
+    row = (mean, found[-1][0] if found else None, pairs)
+    return edges.sparkSession.createDataFrame([row], "mean_distance double, diameter long, pairs long")
 
 
 def word_match(name: Column, word: str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import dot, keyword_score
+from ..session import ship
 
 
 def query_vector(vector: list[float]) -> Column:
@@ -21,35 +22,46 @@ def scored(rows: DataFrame, vector: list[float], query: str = "", weight: float
     return rows.withColumn("score", cos + (weight * keyword_score(query, F.col("path")) if query.strip() else F.lit(0.0)))
 
 
-def scored_blocks(rows: DataFrame, vectors: list[list[float]], embedding: str = "embedding", key: str = "path", top: int = 10) -> DataFrame:
-    """(query, key, score): the best rows for many query vectors, by matrix products over Arrow batches.
+def scored_blocks(rows: DataFrame, asked: DataFrame, embedding: str = "embedding", key: str = "path", top: int = 10, block: int = 8192) -> DataFrame:
+    """(query, key, score, rank): the best rows for each of many query vectors (query, embedding), by matrix products of blocks.
 
-    Each batch keeps its own best ``top``; the final choice is a window over those.
+    Queries and rows are dealt into blocks; each pair of blocks is one task's product, of which it keeps the best ``top`` for each query
+    (with the ties of the last place); the final choice is a window over those. Scores are compared to nine places.
     """
     import numpy as np
     from pyspark.sql import Window as W
 
-    q = np.array(vectors, np.float64)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+    ship(rows.sparkSession)
+    n_rows, n_asked = (max(1, -(-x.count() // block)) for x in (rows, asked))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.select(F.col(key).alias("k"), F.col(embedding).alias("e"), place(key, n_rows).alias("rb"), every(n_asked).alias("qb"))
+    right = asked.select("query", F.col("embedding").alias("e"), place("query", n_asked).alias("qb"), every(n_rows).alias("rb"))
 
-    def run(batches):
+    def unit(column, n: int):
+        x = np.array(column.to_pylist(), np.float64).reshape(n, -1)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    def run(a, b):
         import pyarrow as pa
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
-            n = np.linalg.norm(x, axis=1)
-            s = (x / np.where(n > 0, n, 1)[:, None]) @ q.T
-            k = min(top, b.num_rows)
-            at = np.argpartition(-s, k - 1, axis=0)[:k]
-            kth = np.sort(s, axis=0)[-k]
-            rows_, cols = np.nonzero(s >= kth)  # ties of the last place stay
-            del at
-            yield pa.RecordBatch.from_arrays([pa.array(cols.astype(np.int32)), b.column(0).take(pa.array(rows_)), pa.array(s[rows_, cols])], ["query", key, "score"])
-
-    kind = rows.schema[key].dataType.simpleString()
-    best = rows.select(key, embedding).mapInArrow(run, f"query int, {key} {kind}, score double")
+        a, b = a.combine_chunks(), b.combine_chunks()
+        found = [[], [], []]
+        if a.num_rows and b.num_rows:
+            x, q = unit(a["e"], a.num_rows), unit(b["e"], b.num_rows)
+            k = min(top, a.num_rows)
+            for at in range(0, len(q), 256):
+                s = np.round(x @ q[at : at + 256].T, 9)
+                last = np.partition(s, -k, axis=0)[-k]
+                i, j = np.nonzero(s >= last)
+                for out, y in zip(found, (j + at, i, s[i, j]), strict=True):
+                    out.append(y)
+        j, i, s = (np.concatenate(y) if y else np.zeros(0) for y in found)
+        take = lambda t, c, y: t[c].take(pa.array(y.astype(np.int64)))
+        return pa.table({"query": take(b, "query", j), key: take(a, "k", i), "score": pa.array(s.astype(np.float64))})
+
+    kinds = f"query {asked.schema['query'].dataType.simpleString()}, {key} {rows.schema[key].dataType.simpleString()}, score double"
+    best = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(run, kinds)
     w = W.partitionBy("query").orderBy(F.col("score").desc(), key)
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 

@@ -181,25 +181,49 @@ def shortest_path_length(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(len(path) - 1,)], "edges long")
 
 
-@query("shortest_path")
+# The best paths of at most three edges, by the order in which neighbours are visited: descending degree, then name.
+_PATHS = f"""{_EDGES}, d AS (SELECT a AS n, count(*) AS k FROM e GROUP BY a), s AS (SELECT e.b AS x, d.k AS kx FROM e JOIN d ON d.n = e.b WHERE e.a = {_START}),
+  w AS (SELECT 1 AS l, NULL AS x, NULL AS y, 0 AS kx, 0 AS ky FROM s WHERE x = {_END} UNION ALL SELECT 2, x, NULL, kx, 0 FROM s JOIN e ON e.a = s.x AND e.b = {_END}
+  UNION ALL SELECT 3, s.x, e.b, kx, d.k FROM s JOIN e ON e.a = s.x JOIN d ON d.n = e.b JOIN e f ON f.a = e.b AND f.b = {_END} WHERE s.x <> {_END} AND e.b <> {_START}),
+  p AS (SELECT row_number() OVER (ORDER BY kx DESC, x, ky DESC, y) - 1 AS path, l, x, y FROM w WHERE l = (SELECT min(l) FROM w)),
+  o AS (SELECT path, unnest(list_filter([{_START}, x, y, {_END}], lambda v: v IS NOT NULL)) AS node, generate_subscripts(list_filter([{_START}, x, y, {_END}], lambda v: v IS NOT NULL), 1) - 1 AS step FROM p)"""
+
+
+@query("shortest_path", f"WITH {_PATHS} SELECT CAST(step AS BIGINT) AS step, node FROM o WHERE path = 0")
 def shortest_path(spark: SparkSession, d: str) -> DataFrame:
     path = graph.find_path(graph.undirected(view(spark, d, "relations"), prune_leaves=False), *_ends(spark, d))
     return spark.createDataFrame([(i, x) for i, x in enumerate(path)], "step long, node string")
 
 
-@query("all_paths")
+@query("all_paths", f"WITH {_PATHS} SELECT path, CAST(step AS BIGINT) AS step, node FROM o WHERE path < 3")
 def all_paths(spark: SparkSession, d: str) -> DataFrame:
     paths = graph.find_all_paths(graph.undirected(view(spark, d, "relations"), prune_leaves=False), *_ends(spark, d), max_depth=8)
     return spark.createDataFrame([(k, i, x) for k, p in enumerate(paths) for i, x in enumerate(p)], "path long, step long, node string")
 
 
-@query("causal_chain")
+@query("causal_chain", f"""WITH r AS (SELECT id, source_entity AS a, relation, target_entity AS b, source_file AS f, CASE WHEN relation IN ('causes', 'uses') THEN 0 ELSE 1 END AS late FROM {{relations}}),
+  p AS (SELECT w.a AS a0, w.relation AS r0, w.b AS a1, w.f AS f0, x.relation AS r1, x.b AS a2, x.f AS f1, y.relation AS r2, y.b AS a3, y.f AS f2, z.relation AS r3, z.b AS a4, z.f AS f3
+    FROM r w JOIN r x ON x.a = w.b JOIN r y ON y.a = x.b JOIN r z ON z.a = y.b WHERE w.a = {_START} AND z.b = 'region 1' ORDER BY w.late, w.id, x.late, x.id, y.late, y.id, z.late, z.id LIMIT 1)
+  SELECT 0::BIGINT AS step, a0 AS src, r0 AS relation, a1 AS dst, f0 AS source FROM p UNION ALL SELECT 1, a1, r1, a2, f1 FROM p UNION ALL SELECT 2, a2, r2, a3, f2 FROM p UNION ALL SELECT 3, a3, r3, a4, f3 FROM p""")
 def causal_chain(spark: SparkSession, d: str) -> DataFrame:
     a, _ = _ends(spark, d)
     steps = graph.causal_chain(view(spark, d, "relations"), a, "region 1")
     return spark.createDataFrame([(i, s["src"], s["relation"], s["dst"], s["source"]) for i, s in enumerate(steps)], "step long, src string, relation string, dst string, source string")
 
 
+_ASKED = ("nation 1", "making nation 1", "ation 1", "of 1 nation", "nothing of it")
+
+
+@query("fuzzy_names", f"""WITH n AS (SELECT name, count(*) AS n FROM (SELECT source_entity AS name FROM {{relations}} UNION ALL SELECT target_entity FROM {{relations}}) GROUP BY name), q AS (SELECT unnest([{", ".join(repr(x) for x in _ASKED)}]) AS query),
+  m AS (SELECT query, name, n, len(list_intersect(string_split(query, ' '), string_split(name, ' '))) AS shared FROM q, n),
+  t AS (SELECT *, CASE WHEN name = query THEN 0 WHEN contains(name, query) THEN 1 WHEN shared >= 2 THEN 2 END AS tier FROM m)
+  SELECT query, name FROM (SELECT query, name, row_number() OVER (PARTITION BY query ORDER BY tier, CASE WHEN tier = 2 THEN -shared ELSE 0 END, n DESC, name) AS k FROM t WHERE tier IS NOT NULL) WHERE k = 1""")
+def fuzzy_names(spark: SparkSession, d: str) -> DataFrame:
+    edges = graph.directed(view(spark, d, "relations"))
+    found = [(q, graph.fuzzy_node(edges, q)) for q in _ASKED]
+    return spark.createDataFrame([x for x in found if x[1]], "query string, name string")
+
+
 @query("implementations", "SELECT DISTINCT name AS src, 'applies' AS relation, source_file AS dst FROM {entities} WHERE name LIKE 'nation%'")
 def implementations(spark: SparkSession, d: str) -> DataFrame:
     rows = view(spark, d, "entities").filter(F.col("name").startswith("nation")).select("name", "source_file").distinct()
@@ -219,19 +243,17 @@ def ask_graph(spark: SparkSession, d: str) -> DataFrame:
     return graph.ask(view(spark, d, "relations"), view(spark, d, "entities"), asked)
 
 
-_PARTS = "SELECT * FROM {relations} WHERE relation IN ('causes', 'uses') AND id % 11 = 0"
+_COMPONENTS = f"""{_EDGES}, r(node, component) USING KEY (node) AS (SELECT a, a FROM e GROUP BY a UNION SELECT e.b, min(r.component) FROM r JOIN e ON e.a = r.node JOIN recurring.r AS o ON o.node = e.b WHERE r.component < o.component GROUP BY e.b)"""
 
 
-@query("connected_components", f"""WITH RECURSIVE s AS ({_PARTS}), e AS (SELECT DISTINCT a, b FROM (SELECT source_entity AS a, target_entity AS b FROM s UNION ALL SELECT target_entity, source_entity FROM s)),
-  r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen) SELECT node, min(seen) AS component FROM r GROUP BY node""")
+@query("connected_components", f"WITH RECURSIVE {_COMPONENTS} SELECT node, component FROM r")
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
-    some = view(spark, d, "relations").filter("relation IN ('causes', 'uses') AND id % 11 = 0")
-    return graph.components(graph.undirected(some, prune_leaves=False))
+    return graph.components(graph.undirected(view(spark, d, "relations"), prune_leaves=False))
 
 
 @query("path_length_stats")
 def path_length_stats(spark: SparkSession, d: str) -> DataFrame:
-    return graph.path_statistics(graph.undirected(view(spark, d, "relations").filter("relation <> 'causes'")), sample=20, whole_up_to=50)
+    return graph.path_statistics(graph.undirected(view(spark, d, "relations")))
 
 
 # --- communities ---
@@ -286,9 +308,10 @@ def size_buckets(spark: SparkSession, d: str) -> DataFrame:
     return communities.size_statistics(given).withColumn("mean", _r("mean"))
 
 
-@query("graph_overview")
+@query("graph_overview", f"""WITH RECURSIVE {_COMPONENTS}, c AS (SELECT component, count(*) AS n FROM r GROUP BY 1), t AS (SELECT count(*) AS components, max(n) AS largest, sum(n) AS nodes FROM c)
+  SELECT components, largest, round(largest / nodes, 9) AS share, round((SELECT count(*) FROM e) / (nodes * (nodes - 1.0::DOUBLE)), 9) AS density FROM t""")
 def graph_overview(spark: SparkSession, d: str) -> DataFrame:
-    return communities.overview(_graph(spark, d)[0])
+    return communities.overview(_graph(spark, d)[0]).withColumn("share", _r("share", 9)).withColumn("density", _r("density", 9))
 
 
 @query("leiden")
@@ -298,8 +321,7 @@ def leiden(spark: SparkSession, d: str) -> DataFrame:
 
 @query("resolution_sweep")
 def resolution_sweep(spark: SparkSession, d: str) -> DataFrame:
-    edges = communities.merged(view(spark, d, "relations").filter("relation <> 'causes'"))
-    return communities.resolution_sweep(edges, (0.5, 1.0, 2.0))
+    return communities.resolution_sweep(_graph(spark, d)[0])
 
 
 # --- search over the graph ---
@@ -394,8 +416,9 @@ def discipline_sets(spark: SparkSession, d: str) -> DataFrame:
 
 @query("synthesis_full")
 def synthesis_full(spark: SparkSession, d: str) -> DataFrame:
-    names = view(spark, d, "part").filter("p_partkey % 97 = 0").select(F.lower("p_name").alias("n"))
-    notes = names.select(F.concat(F.lit("synthesis--"), F.replace("n", F.lit(" "), F.lit("-")), F.lit(".md")).alias("path"), F.col("n").alias("content"))
+    # A synthesis note for each brand, named after its first part.
+    names = view(spark, d, "part").groupBy("p_brand").agg(F.lower(F.min("p_name")).alias("n"))
+    notes = names.select(F.concat(F.lit("synthesis--"), F.replace("n", F.lit(" "), F.lit("-")), F.lit("-"), F.lower("p_brand"), F.lit(".md")).alias("path"), F.col("n").alias("content"))
     return synthesis.suggestions(view(spark, d, "topics"), notes, ucb=True)
 
 
@@ -411,7 +434,8 @@ def bridge_merge(spark: SparkSession, d: str) -> DataFrame:
     return search.bridged(bm25(files, "apache", path_prefix="src1/", limit=None), matching_terms(files, ["version"])).select("path", "origin")
 
 
-@query("code_search")
+@query("code_search", """SELECT path, round(n / 2.0::DOUBLE, 6) AS score, split_part(path, '/', 2) AS project FROM (SELECT concat('Projects/', regexp_replace(path, '\\.md$', '.py')) AS path, 1 + CASE WHEN contains(lower(content), 'licensed') THEN 1 ELSE 0 END AS n
+  FROM {files} WHERE contains(lower(content), 'version')) ORDER BY score DESC, path LIMIT 10""")
 def code_search(spark: SparkSession, d: str) -> DataFrame:
     files = view(spark, d, "files").withColumn("path", F.concat(F.lit("Projects/"), F.regexp_replace("path", r"\.md$", ".py")))
-    return search.code_hits(files, "version licensed")
+    return search.code_hits(files, "version licensed").withColumn("score", _r("score"))

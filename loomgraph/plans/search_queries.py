@@ -119,11 +119,11 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return found.orderBy(F.col("score").desc(), "vec_id").limit(20).select("vec_id", _r("score").alias("score"))
 
 
-@query("cosine_batch_topk", f"""SELECT CAST(query AS INT) AS query, vec_id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM (SELECT q.vec_id // 50 AS query, e.vec_id, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank
-  FROM {{embeddings}} e, {{embeddings}} q WHERE q.vec_id % 50 = 0 AND q.vec_id < 500) WHERE rank <= 10""")
+@query("cosine_batch_topk", f"""SELECT query, vec_id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM (SELECT q.vec_id AS query, e.vec_id, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS}, 9) DESC, e.vec_id) AS rank
+  FROM {{embeddings}} e, {{embeddings}} q WHERE q.vec_id % 20 = 0) WHERE rank <= 10""")
 def cosine_batch_topk(spark: SparkSession, d: str) -> DataFrame:
     rows = _vectors(spark, d)
-    asked = [list(r["embedding"]) for r in rows.filter("vec_id % 50 = 0 and vec_id < 500").orderBy("vec_id").collect()]  # ten queries
+    asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding")  # the stated query set, against all rows
     return vector.scored_blocks(rows, asked, key="vec_id", top=10).select("query", "vec_id", _r("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -211,7 +211,7 @@ def snippet_window(spark: SparkSession, d: str) -> DataFrame:
 
 @query("iterative_search")
 def iterative_search(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(search.iterative(view(spark, d, "all_notes"), "with from", top=10))
+    return _ranked(search.iterative(view(spark, d, "notes"), "with from", top=10))
 
 
 @query("typed_search")
@@ -224,7 +224,7 @@ def typed_search(spark: SparkSession, d: str) -> DataFrame:
 
 @query("expansion_terms")
 def expansion_terms(spark: SparkSession, d: str) -> DataFrame:
-    notes = view(spark, d, "all_notes")
+    notes = view(spark, d, "notes")
     return search.expansion_terms(fulltext.bm25(notes, "with from", limit=20), notes, "with from")
 
 
@@ -251,7 +251,7 @@ def code_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query("markdown_chunks")
 def markdown_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.note_chunks(view(spark, d, "all_notes"))
+    return chunking.note_chunks(view(spark, d, "notes"))
 
 
 @query("chunk_router", "SELECT path, CASE WHEN length(content) <= 8000 THEN 'whole' ELSE 'chunks' END AS kind FROM {files}")
@@ -342,10 +342,19 @@ def citation_rollup(spark: SparkSession, d: str) -> DataFrame:
     return citations.rollup(citations.judged(_urls(spark, d)).withColumn("path", F.col("page_id") % 10), "path")
 
 
-@query("citation_liveness")
-def citation_liveness(spark: SparkSession, d: str) -> DataFrame:
-    def fetcher(url: str) -> dict:
-        k = len(url) % 7
-        return [{"code": 200}, {"code": 404}, {"code": 403}, {"code": 301, "redirect": "https://elsewhere.org/"}, {"failure": "timed out"}, {"failure": "refused"}, {"code": 500}][k]
+def _reply(url: str) -> dict:
+    """Made-up replies by the url's length."""
+    cookie = {"code": 200, "redirect": url.split("?")[0] + "?error=cookies"}
+    replies = [{"code": 200}, {"code": 404}, {"code": 403}, {"code": 200, "redirect": "https://elsewhere.org/"}, {"failure": "timed out"}, {"failure": "refused"}, {"code": 500}, {"code": 401}, {"code": 405}, cookie, {"code": 410}]
+    return replies[len(url) % 11]
+
+
+def _second(url: str) -> dict:
+    return [{"code": 206}, {"code": 410}, {"code": 404}, {"failure": "timed out"}][len(url) // 11 % 4]
 
-    return citations.rollup(citations.checked(_urls(spark, d), fetcher))
+
+@query("citation_liveness", f"""WITH {_URLS}, s AS (SELECT CASE WHEN status <> 'fetch' THEN status ELSE CASE length(url) % 11 WHEN 0 THEN 'ok' WHEN 1 THEN 'not_found' WHEN 2 THEN 'access_denied' WHEN 3 THEN 'redirect' WHEN 4 THEN 'timeout' WHEN 5 THEN 'error' WHEN 6 THEN 'error' WHEN 7 THEN 'error'
+    WHEN 8 THEN CASE length(url) // 11 % 4 WHEN 0 THEN 'ok' WHEN 2 THEN 'not_found' ELSE 'error' END WHEN 9 THEN 'ok' ELSE 'not_found' END END AS status FROM v)
+  SELECT count(*) AS urls, {", ".join(f"count(*) FILTER (WHERE status = '{x}') AS {x}" for x in citations.STATUSES)}, count(*) FILTER (WHERE status IN ('not_found', 'timeout', 'error', 'hallucinated')) AS issues FROM s""")
+def citation_liveness(spark: SparkSession, d: str) -> DataFrame:
+    return citations.rollup(citations.checked(_urls(spark, d), _reply, _second))

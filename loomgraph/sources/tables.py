@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="loomgraph-"))
     return _OWN[0]
@@ -40,11 +42,11 @@ VIEWS = {
                concat('part ', CAST(l_partkey AS STRING)) AS target_entity,
                concat(CASE o_custkey % 3 WHEN 0 THEN 'bio' WHEN 1 THEN 'cs' ELSE 'econ' END, '--', CAST(l_orderkey % 97 AS STRING), '.md') AS source_file,
                0.5 + (l_linenumber % 5) / CAST(10 AS DOUBLE) AS confidence
-        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_orderkey % 20 = 0
+        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
         UNION ALL
         SELECT l_orderkey * 100 + 50 + l_linenumber, concat('part ', CAST(l_partkey AS STRING)), 'uses', concat('supplier ', CAST(l_suppkey AS STRING)),
                concat('ops--', CAST(l_partkey % 89 AS STRING), '.md'), CAST(0 AS DOUBLE)
-        FROM {lineitem} WHERE l_orderkey % 20 = 0
+        FROM {lineitem}
         UNION ALL
         SELECT -s_suppkey, concat('supplier ', CAST(s_suppkey AS STRING)), 'part_of', concat('nation ', CAST(s_nationkey AS STRING)),
                concat('geo--', CAST(s_nationkey AS STRING), '.md'), CAST(0.8 AS DOUBLE) FROM {supplier}
@@ -54,7 +56,7 @@ VIEWS = {
     "topics": """
         SELECT p_partkey AS id, lower(p_name) AS source_entity, 'related_to' AS relation, lower(p_brand) AS target_entity,
                concat(lower(substring(p_type, 1, 3)), '--', CAST(p_partkey % 31 AS STRING), '.md') AS source_file, CAST(0.8 AS DOUBLE) AS confidence
-        FROM {part} WHERE p_partkey % 5 = 0""",
+        FROM {part}""",
     "entities": """
         SELECT name,
                CASE substring(name, 1, 3) WHEN 'cus' THEN 'company' WHEN 'par' THEN 'process' WHEN 'sup' THEN 'Protein' WHEN 'nat' THEN 'country' ELSE 'galaxy' END AS type, source_file
@@ -65,11 +67,8 @@ VIEWS = {
         UNION ALL SELECT concat('part ', CAST(p_partkey AS STRING)), CAST(p_partkey % 7 AS INT) FROM {part}
         UNION ALL SELECT concat('nation ', CAST(n_nationkey AS STRING)), CAST(n_nationkey % 7 AS INT) FROM {nation}
         UNION ALL SELECT concat('region ', CAST(r_regionkey AS STRING)), CAST(r_regionkey % 7 AS INT) FROM {region}""",
-    "notes": """
-        SELECT doc_id, path, concat('---\ntags: [', lang, ', ', source, ']\n---\n## Topic ', source, ' of ', lang, '\n', substring(text, 1, 3000), ' [[', source, '|x]] [l](', url, ') `id_', lang, '` see ', url, '.\n') AS content, summary
-        FROM (SELECT d.doc_id, d.lang, d.source, d.text, f.path, f.summary, p.url FROM {documents} d JOIN {files} f ON d.doc_id = f.doc_id JOIN {pages} p ON d.doc_id = p.page_id)""",
     # Every document with its whole text; without a page of the same number the url is made from doc_id.
-    "all_notes": """
+    "notes": """
         SELECT doc_id, path, concat('---\ntags: [', lang, ', ', source, ']\n---\n## Topic ', source, ' of ', lang, '\n', text, ' [[', source, '|x]] [l](', url, ') `id_', lang, '` see ', url, '.\n') AS content, summary
         FROM (SELECT d.doc_id, d.lang, d.source, d.text, f.path, f.summary, coalesce(p.url, concat('https://example.org/', CAST(d.doc_id AS STRING))) AS url
               FROM {documents} d JOIN {files} f ON d.doc_id = f.doc_id LEFT JOIN {pages} p ON d.doc_id = p.page_id)""",

@@ -239,7 +239,7 @@ def test_every_document_is_a_note_with_its_whole_text(spark, data):
     from loomgraph.sources.tables import view
 
     texts = {r["doc_id"]: r["text"] for r in view(spark, data, "documents").collect()}
-    got = view(spark, data, "all_notes").collect()
+    got = view(spark, data, "notes").collect()
     assert sorted(r["doc_id"] for r in got) == sorted(texts)
     assert all(texts[r["doc_id"]] in r["content"] for r in got)
     long = {r["path"] for r in got if len(r["content"]) > chunking.WHOLE}
