@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import overlapping_count
 
 K1, B, STORED = 1.2, 0.75, 50_000
+BUCKETS = 64  # folders of the stored postings
 
 
 def query_words(query: str) -> list[str]:
@@ -21,38 +22,89 @@ def _sum(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
+def _scored(base: DataFrame, stats: DataFrame, n: int, passed: Column, limit: int | None, mode: str) -> DataFrame:
+    """Scores from (path, dl, f0, f1, ..) and one row of statistics: n_docs, avgdl, n_all, n0, n1, .."""
+    has = [F.coalesce(F.col(f"f{i}") > 0, F.lit(False)) for i in range(n)]
+    every, any_ = reduce(lambda a, b: a & b, has), reduce(lambda a, b: a | b, has)
+    idf = [F.greatest(F.ln((F.col("n_docs") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5)), F.lit(1e-6)) for i in range(n)]
+    norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+    score = _sum([F.when(h, i_ * F.col(f"f{i}") * (K1 + 1) / (F.col(f"f{i}") + norm)).otherwise(0.0) for i, (h, i_) in enumerate(zip(has, idf, strict=True))])
+    wanted = {"and": every, "or": any_}.get(mode, F.when((F.col("n_all") < 3) & (F.lit(n) > 1), any_).otherwise(every))
+    found = base.filter(any_ & passed).crossJoin(F.broadcast(stats)).filter(wanted).select("path", score.alias("score"))  # one row of statistics
+    return ranked(found, limit)
+
+
+def _counts_of(words: list[str], passed: Column) -> list[Column]:
+    has = [F.coalesce(F.col(f"f{i}") > 0, F.lit(False)) for i in range(len(words))]
+    return [F.count_if(reduce(lambda a, b: a & b, has) & passed).alias("n_all"), *[F.count_if(h).alias(f"n{i}") for i, h in enumerate(has)]]
+
+
+def _frequencies(words: list[str], dl: Column) -> list[Column]:
+    low = F.lower(F.left(F.col("content"), F.lit(STORED)))
+    return ["path", dl.alias("dl"), *[overlapping_count(low, w).alias(f"f{i}") for i, w in enumerate(words)]]
+
+
 def bm25(files: DataFrame, query: str, path_prefix: str | None = None, limit: int | None = 100, mode: str = "auto") -> DataFrame:
     """(path, score, rank) of the files that contain the query's words (of three letters or more, case folded).
 
     ``mode``: ``and``, ``or`` or ``auto``, which is ``and`` unless it finds fewer than three files for several words. Statistics are
-    those of all files; the path filter and the limit come afterwards. A repeated word counts twice. Ties: by path.
+    those of all files; the path filter and the limit come afterwards. A repeated word counts twice. Ties: by path. This reads every
+    text; ``bm25_stored`` reads those that stored postings name.
     """
     words = query_words(query)
     if not words:
         return files.select("path", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    low = F.lower(F.left(F.col("content"), F.lit(STORED)))
-    base = files.select("path", F.least(F.greatest(F.length("content") - 2, F.lit(0)), F.lit(STORED - 2)).alias("dl"), *[overlapping_count(low, w).alias(f"f{i}") for i, w in enumerate(words)])
-    n = len(words)
-    has = [F.coalesce(F.col(f"f{i}") > 0, F.lit(False)) for i in range(n)]
-    every = reduce(lambda a, b: a & b, has)
+    base = files.select(*_frequencies(words, F.least(F.greatest(F.length("content") - 2, F.lit(0)), F.lit(STORED - 2))))
     passed = F.lower("path").startswith(path_prefix.lower()) if path_prefix else F.lit(True)
-    stats = base.agg(F.count("*").alias("n_docs"), F.avg(F.coalesce("dl", F.lit(0))).alias("avgdl"), F.count_if(every & passed).alias("n_all"), *[F.count_if(h).alias(f"n{i}") for i, h in enumerate(has)])
-    idf = [F.greatest(F.ln((F.col("n_docs") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5)), F.lit(1e-6)) for i in range(n)]
-    norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    score = _sum([F.when(h, i_ * F.col(f"f{i}") * (K1 + 1) / (F.col(f"f{i}") + norm)).otherwise(0.0) for i, (h, i_) in enumerate(zip(has, idf, strict=True))])
-    any_ = reduce(lambda a, b: a | b, has)
-    wanted = {"and": every, "or": any_}.get(mode, F.when((F.col("n_all") < 3) & (F.lit(n) > 1), any_).otherwise(every))
-    found = base.filter(any_ & passed).crossJoin(F.broadcast(stats)).filter(wanted).select("path", score.alias("score"))  # one row of statistics
-    return ranked(found, limit)
+    stats = base.agg(F.count("*").alias("n_docs"), F.avg(F.coalesce("dl", F.lit(0))).alias("avgdl"), *_counts_of(words, passed))
+    return _scored(base, stats, len(words), passed, limit, mode)
+
+
+def bm25_stored(spark: SparkSession, folder: str, query: str, path_prefix: str | None = None, limit: int | None = 100, mode: str = "auto", buckets_of: int = BUCKETS) -> DataFrame:
+    """As ``bm25``, over what ``write_postings`` has stored.
+
+    The postings of the query's trigrams alone are read; a text is read if it has all trigrams of some word, and decides itself whether it
+    has the word. Lengths come from a column of their own.
+    """
+    docs = spark.read.parquet(f"{folder}/docs")
+    words = query_words(query)
+    if not words:
+        return docs.select("path", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    grams = sorted({(w, w[i : i + 3]) for w in set(words) for i in range(len(w) - 2)})
+    asked = spark.createDataFrame(grams, "word string, trigram string")
+    posts = spark.read.parquet(f"{folder}/postings")
+    buckets = [r["bucket"] for r in asked.select(F.pmod(F.xxhash64("trigram"), F.lit(buckets_of)).cast("int").alias("bucket")).distinct().collect()]  # of a query's trigrams
+    met = posts.filter(F.col("bucket").isin(buckets) & F.col("trigram").isin([g for _, g in grams])).select("trigram", "path").join(F.broadcast(asked), "trigram")
+    need = F.create_map(*[F.lit(x) for w in sorted(set(words)) for x in (w, len({g for v, g in grams if v == w}))])
+    paths = met.groupBy("word", "path").agg(F.count("*").alias("n")).filter(F.col("n") == need[F.col("word")]).select("path").distinct()
+    base = docs.join(paths, "path", "left_semi").select(*_frequencies(words, F.col("dl")))
+    passed = F.lower("path").startswith(path_prefix.lower()) if path_prefix else F.lit(True)
+    stats = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).crossJoin(base.agg(*_counts_of(words, passed)))  # two single rows
+    return _scored(base, stats, len(words), passed, limit, mode)
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``name``: the place of each row in the order, from 1 on, by ranges: places inside a range after the sizes of those before it."""
+    from pyspark.sql import Window as W
+
+    from ..sources.tables import staged
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = staged(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return dealt.join(F.broadcast(sizes), "_part").withColumn(name, F.col("_before") + inside).drop("_part", "_before")
 
 
 def ranked(found: DataFrame, limit: int | None, *ties: Column) -> DataFrame:
-    """The best rows with their rank; without a limit all rows are ranked."""
+    """The best rows with their rank; without a limit all rows are ranked, by ranges."""
     from pyspark.sql import Window as W
 
     order = [F.col("score").desc(), *(ties or (F.col("path"),))]
-    top = found.orderBy(*order).limit(limit) if limit is not None else found
-    return top.withColumn("rank", F.row_number().over(W.orderBy(*order)))
+    if limit is None:
+        return numbered(found, order, "rank")
+    return found.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(W.orderBy(*order)))
 
 
 def token_postings(rows: DataFrame, key: str, *texts: str) -> DataFrame:
@@ -77,9 +129,10 @@ def token_search(rows: DataFrame, key: str, query: str, *texts: str, limit: int
 
 def trigram_postings(files: DataFrame) -> DataFrame:
     """(trigram, path) of the lower-cased contents: prunes candidates, never decides."""
-    signs = files.filter(F.length("content") >= 3).select("path", F.split(F.lower("content"), "").alias("c"))
-    grams = F.transform(F.sequence(F.lit(0), F.size("c") - 3), lambda i: F.concat(F.get("c", i), F.get("c", i + 1), F.get("c", i + 2)))
-    return signs.select("path", F.explode(F.array_distinct(grams)).alias("trigram"))
+    last = F.length("content") - 3
+    # Code points in one array that is bound to a name, so that it is made once for a text.
+    grams = F.get(F.transform(F.array(F.split(F.lower("content"), "")), lambda c: F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2))))), F.lit(0))
+    return files.filter(F.length("content") >= 3).select("path", F.explode(grams).alias("trigram")).filter(F.col("trigram").isNotNull())
 
 
 def matching_terms(files: DataFrame, terms: list[str], limit: int | None = None) -> DataFrame:

@@ -86,7 +86,29 @@ def prune_orphans(entities: DataFrame, relations: DataFrame, to_fixpoint: bool =
 
 
 def extracted(raw: DataFrame, column: str = "answer") -> DataFrame:
-    """Entities and relations of models' JSON answers (``path`` kept): code fences are stripped, prose around the object too."""
+    """``parsed``: entities and relations of models' JSON answers, each as JSON text; code fences and prose around the object go."""
     text = F.regexp_extract(F.regexp_replace(F.trim(column), r"(?m)^```\w*\s*$", ""), r"(?s)(\{.*\})", 1)
-    schema = "entities array<string>, relations array<struct<source:string,relation:string,target:string>>"
-    return raw.withColumn("parsed", F.from_json(text, schema, {"mode": "PERMISSIVE"}))
+    return raw.withColumn("parsed", F.from_json(text, "entities array<string>, relations array<string>", {"mode": "PERMISSIVE"}))
+
+
+def pruned_index(files: DataFrame, chunks: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files that still exist, and the chunks of those."""
+    kept = pruned(files, current)
+    return kept, pruned(chunks, kept, "file_path")
+
+
+def without_orphans(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """Chunks whose file is in the index."""
+    return pruned(chunks, files, "file_path")
+
+
+def rechunked(chunks: DataFrame, changed: DataFrame, new: DataFrame) -> DataFrame:
+    """Chunks after some files have changed: all of theirs go, the new ones come, keyed by file and number."""
+    rest = chunks.join(changed.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_anti")
+    return upserted(rest, new, "file_path", "chunk_index")
+
+
+def unknown_relations(rows: DataFrame, most: int = 10) -> DataFrame:
+    """(relation, n): the most frequent relations that the map of canonical ones lacks."""
+    lacks = ~F.lower(F.trim("relation")).isin(*V.RELATION_MAP)
+    return rows.filter(lacks).groupBy("relation").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "relation").limit(most)

@@ -40,19 +40,22 @@ def semantic(files: DataFrame, vector: list[float], query: str, chunks: DataFram
     return ranked(base, None)
 
 
-def search(files: DataFrame, query: str, embedder: Embedder | None = None, chunks: DataFrame | None = None, mode: str = "hybrid", top: int = 5, path_prefix: str | None = None) -> DataFrame:
-    """(path, score, rank). Without an embedder, or where it fails, keywords alone; ``mode``: hybrid, semantic or bm25."""
+def search(files: DataFrame, query: str, embedder: Embedder | None = None, chunks: DataFrame | None = None, mode: str = "hybrid", top: int = 5, path_prefix: str | None = None, hyde: TextModel | None = None) -> DataFrame:
+    """(path, score, rank). Without an embedder, or where it fails, keywords alone; ``mode``: hybrid, semantic or bm25.
+
+    ``hyde`` gives the passage that is embedded for a query, or for the ``hyde:`` parts of a typed one.
+    """
     typed = typed_parts(query)
     if any(typed[k] for k in ("lex", "vec", "hyde")):
         lists = [bm25(files, q, path_prefix, top * 4) for q in typed["lex"] + typed["plain"]]
         if embedder:
             some = _under(files, path_prefix)
-            lists += [semantic(some, embedder([q])[0], q) for q in typed["vec"] + typed["hyde"] + typed["plain"]]
+            lists += [semantic(some, embedder([q])[0], q) for q in typed["vec"] + [hyde(q) if hyde else q for q in typed["hyde"]] + typed["plain"]]
         return fuse(lists, top=top)
     vector = None
     if embedder and mode != "bm25":
         try:
-            vector = embedder([query])[0]
+            vector = embedder([hyde(query) if hyde else query])[0]
         except Exception:  # noqa: BLE001  the model may fail in any way; keywords remain
             vector = None
     if vector is None:

@@ -8,20 +8,33 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import ship
+from ..sources.tables import staged
 from .fusion import diversity
 from .graph import degrees, undirected
 
 
 def neighbour_pairs(relations: DataFrame, min_jaccard: float = 0.15, min_shared: int = 3, min_degree: int = 6) -> DataFrame:
-    """(entity_a, entity_b, shared, jaccard): pairs a < b of well connected entities, joined on their shared neighbours."""
-    edges = undirected(relations, prune_leaves=False)
+    """(entity_a, entity_b, shared, jaccard): pairs a < b of well connected entities that share enough neighbours.
+
+    Two that share ``n`` neighbours share one outside the ``n - 1`` best connected of either. So candidates come from the rarer neighbours
+    alone, which spares the hubs, and what they share is counted for candidates only.
+    """
+    edges = staged(undirected(relations, prune_leaves=False), "edges")
     deg = degrees(edges)
     high = deg.filter(F.col("degree") >= min_degree)
-    sides = edges.join(high.select(F.col("node").alias("src")), "src", "left_semi")
-    a, b = sides.select(F.col("src").alias("entity_a"), "dst"), sides.select(F.col("src").alias("entity_b"), "dst")
-    met = a.join(b, "dst").filter("entity_a < entity_b").groupBy("entity_a", "entity_b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= min_shared)
-    x, y = high.select(F.col("node").alias("entity_a"), F.col("degree").alias("da")), high.select(F.col("node").alias("entity_b"), F.col("degree").alias("db"))
-    out = met.join(x, "entity_a").join(y, "entity_b").withColumn("jaccard", F.col("shared") / (F.col("da") + F.col("db") - F.col("shared")))
+    sides = edges.join(high.select(F.col("node").alias("src"), "degree"), "src").select(F.col("src").alias("entity"), "dst", "degree")
+    hub = deg.select(F.col("node").alias("dst"), F.col("degree").alias("hub"))
+    place = F.row_number().over(W.partitionBy("entity").orderBy("hub", "dst"))
+    # Sharing at least max(min_shared, ceil(min_jaccard * degree)); a margin keeps rounding from dropping a pair.
+    least = F.greatest(F.lit(min_shared), F.ceil(F.col("degree") * min_jaccard - 1e-9))
+    rare = sides.join(hub, "dst").withColumn("place", place).filter(F.col("place") <= F.col("degree") - least + 1).select("entity", "dst", "degree")
+    a, b = (rare.select(F.col("entity").alias(f"entity_{k}"), "dst", F.col("degree").alias(f"d{k}")) for k in "ab")
+    # Degrees too far apart rule a pair out at once.
+    apart = (F.least("da", "db") >= min_jaccard * F.greatest("da", "db") - 1e-9) & (F.col("entity_a") < F.col("entity_b"))
+    pairs = a.join(b, "dst").filter(apart).select("entity_a", "entity_b", "da", "db").distinct()
+    x, y = (sides.select(F.col("entity").alias(f"entity_{k}"), "dst") for k in "ab")
+    met = pairs.join(x, "entity_a").join(y, ["entity_b", "dst"]).groupBy("entity_a", "entity_b", "da", "db").agg(F.count("*").alias("shared")).filter(F.col("shared") >= min_shared)
+    out = met.withColumn("jaccard", F.col("shared") / (F.col("da") + F.col("db") - F.col("shared")))
     return out.filter(F.col("jaccard") >= min_jaccard).select("entity_a", "entity_b", "shared", "jaccard")
 
 
@@ -37,12 +50,13 @@ def coverage(relations: DataFrame, synthesis: DataFrame) -> DataFrame:
     """(entity, covered): how many synthesis notes name an entity of over four letters."""
     names = undirected(relations, prune_leaves=False).select(F.col("src").alias("entity")).distinct().filter(F.length("entity") > 4)
     notes = synthesis.select("path", F.lower("content").alias("content"))
-    # A note that contains a name contains the name's first five letters: joined on these, then verified.
-    signs = notes.filter(F.length("content") >= 5).withColumn("c", F.split("content", ""))
-    five = F.transform(F.sequence(F.lit(0), F.size("c") - 5), lambda i: F.array_join(F.slice("c", i + 1, F.lit(5)), ""))
-    grams = signs.select("path", "content", F.explode(F.array_distinct(five)).alias("gram"))
-    met = grams.join(names.withColumn("gram", F.left("entity", F.lit(5))), "gram").filter(F.contains("content", F.col("entity")))
-    return met.groupBy("entity").agg(F.count("*").alias("covered"))
+    # A note that contains a name contains the name's first five letters: joined on these without the texts, then verified.
+    last = F.length("content") - 5
+    grams = F.get(F.transform(F.array(F.split("content", "")), lambda c: F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(c, i + 1, F.lit(5)), "")))), F.lit(0))
+    signs = notes.filter(F.length("content") >= 5).select("path", F.explode(grams).alias("gram"))
+    near = signs.join(names.withColumn("gram", F.left("entity", F.lit(5))), "gram").select("path", "entity").distinct()
+    met = near.join(notes, "path").filter(F.contains("content", F.col("entity")))
+    return met.groupBy("entity").agg(F.count_distinct("path").alias("covered"))
 
 
 def pair_candidates(relations: DataFrame, covered: DataFrame, **limits) -> DataFrame:
@@ -79,7 +93,6 @@ def greedy(pairs: DataFrame, most: float = 0.4) -> DataFrame:
     Sequential by nature; names that share no word can't exclude each other, so what shares words goes together: pairs are
     sent by connected words to one task each.
     """
-    from ..sources.tables import staged
     from .graph import components
 
     ship(pairs.sparkSession)
@@ -117,6 +130,8 @@ def suggestions(relations: DataFrame, synthesis: DataFrame, top: int = 10, ucb:
     rows = kept.withColumn("rank", F.row_number().over(W.orderBy(*order))).withColumn("key", F.concat_ws("\u0001", "entity_a", "entity_b")).withColumn("domains", F.array_union("disciplines_a", "disciplines_b"))
     spread = diversity(rows, "key", "domains", "jaccard")
     titles = synthesis.select(F.filter(F.split(F.regexp_replace(T.stem(F.col("path")), "^synthesis--", ""), "-"), lambda w: F.length(w) > 2).alias("title")).filter("size(title) > 0").distinct()
-    words = T.long_words(F.lower(F.concat_ws(" ", "entity_a", "entity_b")))
-    old = spread.select("key", words.alias("words")).join(titles, T.overlap(F.col("words"), F.array_distinct("title")) > 0.8).select("key").distinct()
+    words = spread.select("key", T.long_words(F.lower(F.concat_ws(" ", "entity_a", "entity_b"))).alias("words"))
+    # An overlap needs a shared word, so pairs meet titles on words.
+    met = words.select("key", "words", F.explode("words").alias("w")).join(titles.select("title", F.explode(F.array_distinct("title")).alias("w")), "w").select("key", "words", "title").distinct()
+    old = met.filter(T.overlap(F.col("words"), F.array_distinct("title")) > 0.8).select("key").distinct()
     return spread.join(old, "key", "left_anti").orderBy(*order).limit(top).drop("key", "domains", "rank")

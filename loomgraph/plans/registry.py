@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_queries, search_queries
+from . import graph_queries, index_queries, search_queries
 
-QUERIES: dict = {**search_queries.QUERIES, **graph_queries.QUERIES}
-ORACLE_SQL: dict[str, str] = {**search_queries.ORACLE_SQL, **graph_queries.ORACLE_SQL}
+QUERIES: dict = {**search_queries.QUERIES, **graph_queries.QUERIES, **index_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**search_queries.ORACLE_SQL, **graph_queries.ORACLE_SQL, **index_queries.ORACLE_SQL}

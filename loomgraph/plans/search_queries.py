@@ -344,7 +344,7 @@ def citation_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 def _reply(url: str) -> dict:
     """Made-up replies by the url's length."""
-    cookie = {"code": 200, "redirect": url.split("?")[0] + "?error=cookies"}
+    cookie = {"code": 200, "redirect": url.split("#")[0].split("?")[0] + "?error=cookies"}
     replies = [{"code": 200}, {"code": 404}, {"code": 403}, {"code": 200, "redirect": "https://elsewhere.org/"}, {"failure": "timed out"}, {"failure": "refused"}, {"code": 500}, {"code": 401}, {"code": 405}, cookie, {"code": 410}]
     return replies[len(url) % 11]
 

@@ -62,10 +62,8 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def embeddings_decoded(df: DataFrame, column: str = "embedding", dims: int | None = None) -> DataFrame:
     """Packed little-endian vectors (half, single or double precision, told apart by size) or JSON text to arrays of floats."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
-    def decode(blobs: pd.Series) -> pd.Series:
+    def decode(blobs):
         import json
 
         import numpy as np

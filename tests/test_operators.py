@@ -191,7 +191,7 @@ def test_urls(spark):
 def test_model_answers(spark):
     raw = spark.createDataFrame([("a", '```json\n{"entities": ["x"], "relations": [{"source": "x", "relation": "uses", "target": "y"}]}\n```'), ("b", 'Here: {"entities": [], "relations": []} ok'), ("c", "no json")], "path string, answer string")
     got = {r["path"]: r["parsed"] for r in ingest.extracted(raw).collect()}
-    assert got["a"]["relations"][0]["target"] == "y" and got["b"]["relations"] == [] and not (got["c"] and got["c"]["relations"])
+    assert '"target":"y"' in got["a"]["relations"][0].replace(" ", "") and got["b"]["relations"] == [] and not (got["c"] and got["c"]["relations"])
     assert models.routed("why this function fails", "small", "coder") == "coder" and models.routed("why the sky", "small", "coder") == "small"
     scores = spark.createDataFrame([("7",), ("score 12",), ("none",), (None,)], "s string").select(models.parsed_score(F.col("s")).alias("x"))
     assert [r["x"] for r in scores.collect()] == [0.7, 1.0, 0.5, 0.5]
