@@ -6,8 +6,8 @@ search for document ids skips files, stripes and row groups by their statistics
 comes from the files: sums by part, then by row inside each part.
 
 Encoding keeps the ids of words in a bounded table. A byte-level vocabulary cuts texts before each single space and no token of
-it reaches across, so a text is the concatenation of its parts' ids; texts with double or no-break spaces or with what could be a
-special token go through the tokenizer whole. New words are encoded many at a time and told apart by their leading space.
+it reaches across, so a text is the concatenation of its parts' ids; between letters and punctuation it is cut as well, which
+leaves fewer different words. Texts with double or no-break spaces or with what could be a special token go through the tokenizer whole. New words are encoded many at a time and told apart by their leading space.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from . import common as C
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
 STRIPE_BYTES, INDEX_STRIDE, BATCH_BYTES = 16 << 20, 1000, 6 << 20
 _CACHE = 800_000
+_OTHER = r"!-&(-/:-@\[-`{-~"
 _SPACE = "Ġ"  # how a byte-level vocabulary writes a space
 
 
@@ -92,8 +93,12 @@ class Encoder:
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Where each text's ids begin (one more entry than texts), and all ids. There are no nulls."""
-        odd = pc.match_substring_regex(texts, "  |\u00a0|<\\|").to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, "  |\u00a0|<\\||\x00").to_numpy(zero_copy_only=False)
         some = texts.filter(pa.array(~odd)) if odd.any() else texts
+        # Between an ASCII letter and other ASCII signs (no apostrophes, digits or spaces) texts are always cut too. A mark says that no
+        # space stands before what follows.
+        for before, after in (("[A-Za-z]", rf"[{_OTHER}\n]"), (f"[{_OTHER}]", "[A-Za-z]"), ("[!-~\x00]\n", "[A-Za-z]")):  # a line's end after white space is not cut off
+            some = pc.replace_substring_regex(some, f"({before})({after})", "\\1 \x00\\2")
         parts = pc.split_pattern(some, " ")
         off = parts.offsets.to_numpy().astype(np.int64)
         flat = parts.values.slice(off[0], off[-1] - off[0])
@@ -103,7 +108,11 @@ class Encoder:
         first = flat.take(pa.array(off[:-1])).unique().to_pylist()  # these have no space before them
         if self.n + len(words) + len(first) > _CACHE:
             self._forget()
-        number = self._numbers(self.led, words, self._words)[coded.indices.to_numpy()]
+        marked = pc.starts_with(coded.dictionary, "\x00").to_numpy(zero_copy_only=False)
+        number = np.empty(len(words), np.int64)
+        for some_words, encode in ((np.flatnonzero(~marked), self._words), (np.flatnonzero(marked), lambda new: self._whole([w[1:] for w in new]))):
+            number[some_words] = self._numbers(self.led, [words[i] for i in some_words.tolist()], encode)
+        number = number[coded.indices.to_numpy()]
         self._numbers(self.first, first, self._whole)
         number[off[:-1]] = [self.first[w] for w in flat.take(pa.array(off[:-1])).to_pylist()]
         begin, size = self.at[number], self.at[number + 1] - self.at[number]

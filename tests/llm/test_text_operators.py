@@ -208,6 +208,20 @@ def test_token_files(spark, docs, tmp_path):
     assert token_files.digests(spark, empty).count() == 0
 
 
+def test_cut_texts_are_encoded_as_whole_ones():
+    import random
+
+    import pyarrow as pa
+
+    e = token_files.encoder(token_files.vocabulary_path())
+    rng = random.Random(1)
+    signs = ["a", "B", "xyz", "é", "日", "1", "22", " ", " ", "\n", "\t", ".", ",", "'", "'s", "'ll", "-", "(", ")", "…", "«", "😀", "_", "\\", "\r", "\x0b", "%%%", "!", "\x00"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 25))) for _ in range(20_000)]
+    off, ids = e.encode(pa.array(texts))
+    want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert all(ids[off[i] : off[i + 1]].tolist() == w for i, w in enumerate(want))
+
+
 # --- 4 ---
 
 
