@@ -10,6 +10,7 @@ import pytest
 
 import corpus_pipeline
 from loomgraph.llm import decontaminate, language_id, near_dedup, pii, piece_encoding, suffix_dedup
+from test_text_operators import brute_hits
 
 
 def frame(spark, rows):
@@ -150,7 +151,8 @@ def test_pipeline_equals_its_operators_one_after_another(spark, data):
     left = {d: t for d, (t, _) in rows.items() if d not in refused}
     left = {d: left[d] for d, _, _, kept in brute_components(left.items(), 5) if kept}
     bench = spark.read.parquet(f"{data}/benchmark.parquet")
-    out = {r["doc_id"] for r in decontaminate.contamination(docs, bench).collect() if r["contaminated"]}
+    out = {r[0] for r in brute_hits([(d, t) for d, (t, _) in rows.items()], [tuple(r) for r in bench.select("item_id", "text").collect()]) if r[3]}
+    assert out & set(left)
     left = {d: t for d, t in left.items() if d not in out}
     assert set(got) == set(left) and len(left) < len(rows)
     masked = {r["doc_id"]: r["text"] for r in pii.stage(spark, frame(spark, list(left.items())), data).collect()}
