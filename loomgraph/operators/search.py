@@ -176,6 +176,7 @@ def catalysts(entities: DataFrame, relations: DataFrame, limit: int = 200) -> Da
     rows = best.join(related, "name", "left")
     n, t = F.col("name"), F.lower("type")
     say = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
+    # The texts of the questions.
     third = F.when(t == "concept", say("What are the key mechanisms behind ", n, "?")).when(t == "technique", say("How is ", n, " applied in practice?")).when(t == "theory", say("What evidence supports or challenges ", n, "?")).when(t == "person", say("What contributions did ", n, " make?")).otherwise(say("What are the implications of ", n, "?"))
     domains = F.array_sort(F.array_distinct(F.array_compact(F.transform("all_notes", lambda f: T.domain(f)))))
     count = F.size("all_notes")
