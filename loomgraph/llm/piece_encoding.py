@@ -27,7 +27,8 @@ from . import common as C
 
 MARK = "▁"
 VOCABULARY = "piece_bpe_32k.model"
-_CACHE, _PAIRS = 48 << 20, 400_000  # characters of words that are kept, pairs that are kept
+#: Bytes of words in one generation (two are kept), what a word takes beside its characters and ids, pairs that are kept.
+_CACHE, _WORD, _PAIRS = 48 << 20, 250, 400_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -57,7 +58,8 @@ class Codec:
         self.pair: dict[tuple[str, str], bool] = {}
         self.own: dict[str, bool] = {}
         self.words: dict[str, bytes] = {}
-        self.held = 0  # characters of the words
+        self.older: dict[str, bytes] = {}  # the generation before; what is asked for again moves on
+        self.held = 0  # bytes of the words
         self.value = {i: p.replace(MARK, " ").encode() for i, p in enumerate(pieces)}
         for b, i in enumerate(bytes_):
             self.value[i] = bytes([b])
@@ -153,14 +155,18 @@ class Codec:
                 out.append(self.unknown)
         return np.array(out, "<u4").tobytes()
 
+    def _keep(self, word: str, ids: bytes) -> None:
+        self.words[word] = ids
+        self.held += _WORD + 2 * len(word) + len(ids)
+
     def learn(self, words: set[str]) -> None:
         """Encode the words that aren't known yet, in sorted order."""
-        new = sorted(words.difference(self.words))
-        self.held += sum(map(len, new))
         if self.held > _CACHE:
-            self.words.clear()
-            new = sorted(words)
-            self.held = sum(map(len, new))
+            self.older, self.words, self.held = self.words, {}, 0
+        missing = words.difference(self.words)
+        for w in missing & self.older.keys():
+            self._keep(w, self.older[w])
+        new = sorted(missing.difference(self.older))
         last, best, before = [""], [0.0], ""
         for w in new:
             k, m = 0, min(len(w), len(before))
@@ -171,7 +177,7 @@ class Codec:
             while at:
                 pieces.append(last[at])
                 at -= len(last[at])
-            self.words[w] = self._ids(pieces[::-1])
+            self._keep(w, self._ids(pieces[::-1]))
             before = w
 
     def cut(self, text: str) -> list[str]:

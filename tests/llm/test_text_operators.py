@@ -161,6 +161,20 @@ def test_piece_encoding_equals_the_library(spark, docs):
     assert all(back[i] == (rows[i] or "") for i in rows)
 
 
+def test_kept_words_stay_within_their_bound(monkeypatch):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_encoding.vocabulary_path())
+    c = piece_encoding.Codec.of(sp)
+    monkeypatch.setattr(piece_encoding, "_CACHE", 20_000)
+    most = 0
+    for i in range(60):
+        text = f"the same words come back with number{i * 7919} and " + " ".join(f"rare{i}x{k}" for k in range(20))
+        assert c.encode([text])[0] == b"".join(x.to_bytes(4, "little") for x in sp.encode(text))
+        most = max(most, len(c.words) + len(c.older))
+    assert most < 60 * 20 and most * piece_encoding._WORD < 3 * 20_000
+
+
 def test_unigram_is_the_best_path():
     pieces = ["<unk>", "a", "b", "ab", "ba", "aba", "▁"]
     c = piece_encoding.Codec(pieces, [0, -2.5, -2.25, -3.5, -3.25, -6.5, -1.5], 0, [], "unigram")
