@@ -28,7 +28,7 @@ from . import common as C
 MARK = "▁"
 VOCABULARY = "piece_bpe_32k.model"
 #: Bytes of words in one generation (two are kept), what a word takes beside its characters and ids, pairs that are kept.
-_CACHE, _WORD, _PAIRS = 48 << 20, 250, 400_000
+_CACHE, _WORD, _PAIRS = 64 << 20, 250, 400_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -223,14 +223,14 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     vocabulary file on the workers.
     """
     spark = docs.sparkSession
-    C.small_batches(spark, 500)
+    C.small_batches(spark, 2000)
     path = path or vocabulary_path()
 
     def run(batches):
         c = codec(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in C.slices(texts, 1 << 21):
+            for a, b in C.slices(texts, 1 << 22):
                 ids = c.encode(texts[a:b])
                 off = np.zeros(b - a + 1, np.int32)
                 np.cumsum([len(x) // 4 for x in ids], out=off[1:])
