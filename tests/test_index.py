@@ -132,6 +132,28 @@ def test_moves_in_joins_find_cliques_and_keep_most_of_the_quality(spark, monkeyp
     assert by[0.2]["communities"] < by[4.0]["communities"] and sum(r["best"] for r in by.values()) == 1
 
 
+def test_communities_do_not_depend_on_where_a_level_is_held(spark, monkeypatch):
+    rng = random.Random(6)
+    edges = [(f"n{a}", "uses", f"n{b}") for a, b in ((rng.randint(0, 50), rng.randint(0, 50)) for _ in range(170))] + [("far", "uses", "off"), ("off", "is", "away")]
+    merged = communities.merged(relations(spark, edges))
+    found = lambda: {r["entity"]: (r["community_id"], r["component"]) for r in communities.leiden(merged).collect()}
+    held = found()
+    assert held["far"] == held["off"] == held["away"] and held["far"][1] == "away" and held["n1"][1] == min(x for x in held if x[0] == "n")
+    near = defaultdict(set)
+    for r in merged.collect():
+        if held[r["a"]] == held[r["b"]]:
+            near[r["a"]].add(r["b"])
+            near[r["b"]].add(r["a"])
+    for start, c in held.items():  # communities are connected
+        seen, level = {start}, [start]
+        while level:
+            level = list({y for x in level for y in near[x]} - seen)
+            seen.update(level)
+        assert seen == {x for x in held if held[x] == c}
+    monkeypatch.setattr(communities, "MOST_EDGES", 0)
+    assert found() == held
+
+
 def test_distances_by_bits(spark):
     rng = random.Random(8)
     pairs = [(f"n{rng.randint(0, 90)}", f"n{rng.randint(0, 90)}") for _ in range(110)]
