@@ -176,6 +176,14 @@ def test_distances_by_bits(spark):
     assert one["pairs"] > 0 and one["diameter"] <= max(count)
 
 
+def test_path_statistics_are_of_all_nodes(spark):
+    n = 5100  # a star
+    edges = spark.range(1, n).select(F.lit("hub").alias("src"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("dst"))
+    one = graph.path_statistics(edges.union(edges.select("dst", "src"))).first()
+    assert (one["pairs"], one["diameter"]) == (n * (n - 1), 2)
+    assert one["mean_distance"] == pytest.approx((2 * (n - 1) + 2 * (n - 1) * (n - 2)) / (n * (n - 1)))
+
+
 def test_pairs_of_neighbours_equal_brute_force(spark):
     rng = random.Random(5)
     pairs = [(f"e{rng.randint(0, 25)}", f"h{min(rng.randint(0, 40), rng.randint(0, 40))}") for _ in range(420)]
