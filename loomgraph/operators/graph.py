@@ -49,15 +49,43 @@ def _place() -> Column:
     return F.concat("pos", F.array(F.struct((-F.col("degree")).cast("long").alias("d"), F.col("dst").alias("n")))).alias("pos")
 
 
+def _between(edges: DataFrame, a: str, b: str, most: int) -> DataFrame | None:
+    """(src, dst, degree) of the part of a graph that holds every path from a to b of up to one edge more than the shortest; None if that has over ``most``.
+
+    Searches from both ends, the smaller front first. If they meet after i and j levels, a node of such a path is at most i edges from
+    a or j from b. Degrees of ``dst`` are those of the whole graph.
+    """
+    spark = edges.sparkSession
+    fronts = [spark.createDataFrame([(x,)], "node string") for x in (a, b)]
+    balls, sizes = list(fronts), [1, 1]
+    for _ in range(most):
+        k = 0 if sizes[0] <= sizes[1] else 1
+        new = edges.join(fronts[k].withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        fronts[k] = staged(new.join(balls[k], "node", "left_anti"), "front")
+        balls[k] = balls[k].union(fronts[k])
+        sizes[k] = fronts[k].count()
+        if not sizes[k]:
+            return None
+        if not fronts[0].join(fronts[1], "node", "left_semi").isEmpty():
+            near = staged(balls[0].union(balls[1]).distinct(), "near")
+            of = edges.join(near.withColumnRenamed("node", "src"), "src", "left_semi")
+            sub = staged(of.join(near.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"), "between")
+            return staged(sub.join(degrees(of).withColumnRenamed("node", "dst"), "dst").select("src", "dst", "degree"), "edges")
+    return None
+
+
 def find_path(edges: DataFrame, start: str, end: str, max_depth: int = 8) -> list[str]:
     """A shortest path of at most ``max_depth`` edges; neighbours are visited by descending degree, then name."""
-    edges = staged(edges.join(degrees(edges).withColumnRenamed("node", "dst"), "dst").select("src", "dst", "degree"), "edges")
+    edges = staged(edges, "edges")
     nodes = edges.select(F.col("src").alias("node")).distinct()
     a, b = resolved(nodes, start), resolved(nodes, end)
     if a is None or b is None:
         return []
     if a == b:
         return [a]
+    edges = _between(edges, a, b, max_depth)
+    if edges is None:
+        return []
     spark = edges.sparkSession
     front = spark.createDataFrame([(a, [], [a])], f"node string, {_PLACE}, path array<string>")
     seen = front.select("node")
@@ -77,7 +105,10 @@ def find_path(edges: DataFrame, start: str, end: str, max_depth: int = 8) -> lis
 
 
 def find_all_paths(edges: DataFrame, start: str, end: str, max_depth: int = 6, max_paths: int = 3) -> list[list[str]]:
-    """Up to ``max_paths`` paths: every shortest way to each neighbour of the end, then the end; at most one edge longer than the best."""
+    """Up to ``max_paths`` paths: every shortest way to each neighbour of the end, then the end; at most one edge longer than the best.
+
+    Of the ways to a node the first ``max_paths`` are carried on, which all of the result begin with.
+    """
     edges = staged(edges, "edges")
     nodes = edges.select(F.col("src").alias("node")).distinct()
     a, b = resolved(nodes, start), resolved(nodes, end)
@@ -85,7 +116,9 @@ def find_all_paths(edges: DataFrame, start: str, end: str, max_depth: int = 6, m
         return []
     if a == b:
         return [[a]]
-    edges = staged(edges.join(degrees(edges).withColumnRenamed("node", "dst"), "dst").select("src", "dst", "degree"), "edges")
+    edges = _between(edges, a, b, max_depth)
+    if edges is None:
+        return []
     spark = edges.sparkSession
     front = spark.createDataFrame([(a, [], [a])], f"node string, {_PLACE}, path array<string>")
     seen = front.select("node")
@@ -98,8 +131,9 @@ def find_all_paths(edges: DataFrame, start: str, end: str, max_depth: int = 6, m
         out += [[*r["path"], b] for r in ends]
         if len(out) >= max_paths:
             break
-        step = step.filter(F.col("dst") != b).join(seen, step["dst"] == seen["node"], "left_anti")
-        front = staged(step.select(F.col("dst").alias("node"), _place(), F.concat("path", F.array("dst")).alias("path")), "front")
+        step = step.filter(F.col("dst") != b).join(seen, step["dst"] == seen["node"], "left_anti").select("dst", "path", _place())
+        step = step.withColumn("k", F.row_number().over(W.partitionBy("dst").orderBy("pos"))).filter(F.col("k") <= max_paths)
+        front = staged(step.select(F.col("dst").alias("node"), "pos", F.concat("path", F.array("dst")).alias("path")), "front")
         if front.isEmpty():
             break
         seen = seen.union(front.select("node").distinct())

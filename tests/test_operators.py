@@ -127,6 +127,31 @@ def test_path_lengths_and_components_of_random_graphs(spark):
     assert all(reach.get(b) == brute_distance(pairs, names[0], b) for b in names if b != names[0])
 
 
+def test_paths_of_a_layered_graph_equal_all_ways_sorted(spark):
+    from loomgraph.sources import tables
+
+    pairs = [("s", f"a{i}") for i in range(5)] + [(f"a{i}", f"b{j}") for i in range(5) for j in range(6)] + [(f"b{j}", f"c{k}") for j in range(6) for k in range(2)] + [("c1", "t"), ("b5", "c0"), ("c0", "c1"), *((f"a{i}", "x") for i in (1, 3)), *(("t", f"far{i}") for i in range(9))]
+    near = {}
+    for x, y in pairs:
+        near.setdefault(x, set()).add(y)
+        near.setdefault(y, set()).add(x)
+    ways = sorted(tuple((-len(near[n]), n) for n in (f"a{i}", f"b{j}", "c1")) for i in range(5) for j in range(6))
+    want = [["s", *(n for _, n in w), "t"] for w in ways]
+    edges = graph.undirected(relations(spark, [(x, "uses", y) for x, y in pairs]), prune_leaves=False)
+    rows, real = [], tables.staged
+    graph.staged = lambda df, what="table": (out := real(df, what), rows.append((what, out)))[0]
+    try:
+        assert graph.find_path(edges, "s", "t") == want[0]
+        assert graph.find_all_paths(edges, "s", "t") == want[:3]
+    finally:
+        graph.staged = real
+    # Of 30 ways to c1 three are carried on, and what lies behind the end is not visited.
+    assert all(r["count"] <= 3 for what, df in rows if what == "front" and "path" in df.columns for r in df.groupBy("node").count().collect())
+    assert not any(df.filter("node like 'far%'").count() for what, df in rows if what == "front" and "path" in df.columns)
+    assert graph.find_all_paths(edges, "s", "t", max_paths=40)[:30] == want and len(graph.find_all_paths(edges, "s", "t", max_paths=40)) > 30
+    assert graph.find_path(edges, "s", "t", max_depth=3) == [] == graph.find_all_paths(edges, "s", "t", max_depth=3)
+
+
 def test_causal_chains(spark):
     r = relations(spark, [("a", "part of", "b"), ("a", "causes", "c"), ("b", "causes", "d"), ("c", "is a", "d"), ("d", "uses", "a"), ("e", "causes", "d")])
     steps = lambda x: [(s["src"], s["relation"], s["dst"]) for s in x]
